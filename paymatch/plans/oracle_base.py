@@ -26,8 +26,12 @@ def oracle(body: str) -> str:
     visit(body)
     if not need:
         return body
-    recursive = "RECURSIVE " if any("/*recursive*/" in CTES[n] for n in need) else ""
-    return "WITH " + recursive + ",\n".join(f"{n} AS ({CTES[n]})" for n in need) + "\n" + body
+    recursive = "RECURSIVE " if any("/*recursive*/" in CTES[n] for n in need) or "/*recursive*/" in body else ""
+    head = "WITH " + recursive + ",\n".join(f"{n} AS ({CTES[n]})" for n in need)
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        return head + ",\n" + re.sub(r"^WITH( RECURSIVE)? ", "", body, flags=re.I)
+    return head + "\n" + body
 
 
 # --- expression snippets --------------------------------------------------------------------------
@@ -133,7 +137,7 @@ CTES["v_invoices"] = f"""
          WHEN k % 11 = 7 AND s % 6 = 0 THEN {_W2} || ' ' || {_W1} || ' ' || s ELSE master_name END AS vendor_name,
     CASE WHEN k % 71 = 0 THEN 0e0 WHEN k % 7 = 3 THEN 0.8e0 ELSE 0.95e0 END AS vendor_conf,
     CASE WHEN k % 71 = 0 THEN 'not_found' WHEN k % 61 = 0 THEN 'uncertain' ELSE 'extracted' END AS vendor_status,
-    CASE scn WHEN 1 THEN replace(po_number, '-', '') WHEN 2 THEN NULL WHEN 3 THEN 'N/A'
+    CASE scn WHEN 1 THEN replace(po_number, '-', CASE WHEN k % 2 = 0 THEN '' ELSE '.' END) WHEN 2 THEN NULL WHEN 3 THEN 'N/A'
          WHEN 4 THEN substring(po_number, 1, 9) || 'X' ELSE po_number END AS po_value,
     CASE WHEN scn IN (2, 3) THEN 0e0 WHEN scn = 4 THEN 0.6e0 ELSE 0.95e0 END AS po_conf,
     CASE WHEN scn = 2 THEN 'not_found' ELSE 'extracted' END AS po_status,

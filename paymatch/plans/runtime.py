@@ -1,25 +1,26 @@
-"""Session plumbing: the reliable checkpoint folder and cuts in the lineage."""
+"""Session plumbing: the shared working folder and cuts in the lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in `spark.checkpoint.dir`; a private one only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = getattr(shared_dir, "_local", None)
-        if path is None:
-            path = shared_dir._local = tempfile.mkdtemp(prefix="paymatch-")
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later readers see one fixed result even if executors are lost."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return path or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="paymatch-"))
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a result several later steps read to the shared folder and go on from the files.
+
+    Later readers then see one fixed result even if executors are lost, and do not recompute it.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/paymatch-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

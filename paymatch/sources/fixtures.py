@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from paymatch.functions.text import vendor_key
+from paymatch.plans.runtime import stage
 
 # --- fixed values: generated vendor names ---------------------------------------------------------
 WORD1 = ("Northwind", "Acme", "Global", "Pioneer", "Harbor", "Summit", "Rogers", "Delta")
@@ -28,6 +29,15 @@ def _pick(values, index: str) -> str:
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._staged: set[str] = set()
+
+    def staged(self, *names: str) -> "Fixtures":
+        """Write the named views once for plans that read them many times over."""
+        for name in names:
+            if name not in self._staged:
+                self.__dict__[name] = stage(getattr(self, name))
+                self._staged.add(name)
+        return self
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -123,7 +133,7 @@ class Fixtures:
             f"{_pick(WORD1, 's % 8')}, ' ', s) else master_name end as vendor_name",
             "case when k % 71 = 0 then 0e0 when k % 7 = 3 then 0.8e0 else 0.95e0 end as vendor_conf",
             "case when k % 71 = 0 then 'not_found' when k % 61 = 0 then 'uncertain' else 'extracted' end as vendor_status",
-            "case when scn = 1 then replace(po_number, '-', '') when scn = 2 then null when scn = 3 then 'N/A' "
+            "case when scn = 1 then replace(po_number, '-', case when k % 2 = 0 then '' else '.' end) when scn = 2 then null when scn = 3 then 'N/A' "
             "when scn = 4 then concat(substring(po_number, 1, 9), 'X') else po_number end as po_value",
             "case when scn in (2, 3) then 0e0 when scn = 4 then 0.6e0 else 0.95e0 end as po_conf",
             "case when scn = 2 then 'not_found' else 'extracted' end as po_status",
