@@ -203,37 +203,27 @@ def by_fuzzy_number(inv: DataFrame, pos: DataFrame, flags: DataFrame, policy: Ma
 
     settled, todo = [], want
     for floor in (0.88, 0.75):
-        ranked = stage(rank(deletion_pairs(todo, stock, ["company_id"], "lk", "rk", floor), floor))
-        complete = ranked.groupBy("company_id", "lk").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("lk")).alias("len")).filter(
-            (F.col("n") == k) & (F.col("len") <= _complete_length(floor))).select("company_id", "lk")
-        settled.append(ranked.join(complete, ["company_id", "lk"], "left_semi"))
-        todo = todo.join(complete, ["company_id", "lk"], "left_anti")
-    half = policy.fuzzy_min_ratio / 2.0
-    chars = lambda s: tagged(F.filter(F.split(s, ""), lambda c: c != ""))
-    wide = overlap_pairs(
-        todo, stock, ["company_id"], "lk", "rk", chars, lambda n, s: F.ceil((n + s) * half).cast("int"),
-        lambda n: F.greatest(F.ceil(n * (half / (1 - half))).cast("int"), F.lit(1)), lambda n: F.floor(n * ((1 - half) / half)).cast("int"))
-    settled.append(rank(wide, policy.fuzzy_min_ratio))
+        pairs, skipped = deletion_pairs(todo, stock, ["company_id"], "lk", "rk", floor)
+        ranked = stage(rank(pairs, floor))
+        full = ranked.groupBy("company_id", "lk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("company_id", "lk")
+        full = full.join(skipped, ["company_id", "lk"], "left_anti")
+        settled.append(ranked.join(full, ["company_id", "lk"], "left_semi"))
+        todo = stage(todo.join(full, ["company_id", "lk"], "left_anti"))
+        if todo.isEmpty():
+            break
+    else:
+        half = policy.fuzzy_min_ratio / 2.0
+        chars = lambda s: tagged(F.filter(F.split(s, ""), lambda c: c != ""))
+        wide = overlap_pairs(
+            todo, stock, ["company_id"], "lk", "rk", chars, lambda n, s: F.ceil((n + s) * half).cast("int"),
+            lambda n: F.greatest(F.ceil(n * (half / (1 - half))).cast("int"), F.lit(1)),
+            lambda n: F.floor(n * ((1 - half) / half)).cast("int"))
+        settled.append(rank(wide, policy.fuzzy_min_ratio))
     best = reduce(DataFrame.unionByName, settled).select("company_id", "lk", "po_number", "ratio", "seq")
     x = inv.filter("po_value <> ''").select("company_id", "document_id", po_key("po_value").alias("lk"))
     return _emit(x.join(best, ["company_id", "lk"]), "fuzzy", F.col("ratio"), 7)
 
 
-def _complete_length(floor: float) -> int:
-    """Longest printed number whose deletion tier skipped no partner length as oversize."""
-    from math import ceil, comb, floor as fl
-
-    from paymatch.operators.similar import MAX_VARIANTS
-
-    t, n = floor / 2.0, 0
-    while True:
-        n += 1
-        for s in range(min(ceil(n * t / (1 - t)), n), max(fl(n * (1 - t) / t), n) + 1):
-            keep = ceil((n + s) * t)
-            if keep <= min(n, s) and max(comb(n, keep), comb(s, keep)) > MAX_VARIANTS * 0.9:
-                return n - 1
-
-
 def by_broadcast(inv: DataFrame, pos: DataFrame, policy: MatchPolicy = MATCH) -> DataFrame:
     """J12.  Policy-gated fallback: the company's first open orders."""
     top = lead(pos.filter("status = 'open'").select("company_id", "po_number"), ["company_id"], ["po_number"], policy.max_candidates)
@@ -310,15 +300,16 @@ def discover(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendors: DataF
     The vendor-amount strategy searches the same orders as the vendor strategy, which has already claimed them,
     so it cannot add to the union and is left out here.
     """
-    flags = tenant_flags(pos, records)
-    lookups = reduce(DataFrame.unionByName, [
-        by_source_invoice(inv, records, policy), by_reference(inv, references, pos, policy), by_number(inv, pos, flags, policy)])
+    flags = stage(tenant_flags(pos, records))
+    lookups = stage(reduce(DataFrame.unionByName, [
+        by_source_invoice(inv, records, policy), by_reference(inv, references, pos, policy), by_number(inv, pos, flags, policy)]))
     # a trusted printed number that is not in the master must not fall back to the vendor's other orders
     trusted = ~suggestion_mode() & (po_presence() == "po_invoice")
     found = lookups.filter(F.col("method").isin("exact", "normalized", "reference")).select("document_id").distinct()
     barred = inv.filter(trusted).select("document_id").join(found, "document_id", "left_anti")
     open_inv = inv.join(barred, "document_id", "left_anti")
     union = lookups.unionByName(by_vendor(open_inv, resolved, pos, vendors, records, flags, policy))
+    union = stage(union)
     expand = (confidence_gate() == "expand") | (suggestion_mode() & (po_presence() == "non_po"))
     if policy.similarity != "tokens":
         rest = inv.filter(expand & (F.col("po_value") != "")).join(union.select("document_id"), "document_id", "left_anti")

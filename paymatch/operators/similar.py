@@ -54,6 +54,8 @@ def _contained(short: DataFrame, long: DataFrame, on: list[str]) -> DataFrame:
 def containment_pairs(left: DataFrame, right: DataFrame, on: list[str], lkey: str, rkey: str) -> DataFrame:
     """Distinct (on, lkey, rkey) where either key contains the other."""
     l, r = left.select(*on, lkey).dropna().distinct(), right.select(*on, rkey).dropna().distinct()
+    if len(on) > 1:  # selective group columns: drop the groups that exist on one side only before indexing grams
+        l, r = l.join(r.select(*on), on, "left_semi"), r.join(l.select(*on), on, "left_semi")
     a = _contained(l.withColumnRenamed(lkey, "sk"), r.withColumnRenamed(rkey, "lk"), on)
     b = _contained(r.withColumnRenamed(rkey, "sk"), l.withColumnRenamed(lkey, "lk"), on)
     return a.select(*on, F.col("sk").alias(lkey), F.col("lk").alias(rkey)).unionByName(
@@ -101,23 +103,28 @@ def _n_variants(n: Column, keep: Column) -> Column:
     return lf(n) - lf(keep) - lf(n - keep)
 
 
-def deletion_pairs(left: DataFrame, right: DataFrame, on: list[str], lkey: str, rkey: str, min_ratio: float) -> DataFrame:
-    """Distinct pairs that share a common subsequence long enough for the ratio, without oversize expansions.
+def deletion_pairs(left: DataFrame, right: DataFrame, on: list[str], lkey: str, rkey: str,
+                   min_ratio: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, skipped): all distinct pairs that share a common subsequence long enough for the ratio.
 
-    Pairs of lengths whose expansion would exceed MAX_VARIANTS are left out; the caller's last tier covers them.
+    `skipped` lists the left keys that meet a partner length whose expansion would exceed MAX_VARIANTS; the
+    pairs of those lengths are not in `pairs`, so the caller must search them another way.
     """
     t = min_ratio / 2.0
     l, r = left.select(*on, lkey).dropna().distinct(), right.select(*on, rkey).dropna().distinct()
-
-    def expand(side: DataFrame, key: str, mine: str, other: str) -> DataFrame:
-        n = F.length(key)
-        lo, hi = F.ceil(n * (t / (1 - t))).cast("int"), F.floor(n * ((1 - t) / t)).cast("int")
-        x = side.filter(n > 0).select(*on, key, n.alias(mine), F.explode(F.sequence(F.least(lo, n), F.greatest(hi, n))).alias(other))
-        keep = F.ceil((F.col(mine) + F.col(other)) * t).cast("int")
-        x = x.filter((keep <= F.col(mine)) & (keep <= F.col(other))).withColumn("keep", keep)
-        big = F.log(F.lit(float(MAX_VARIANTS)))
-        x = x.filter((_n_variants(F.col(mine), F.col("keep")) <= big) & (_n_variants(F.col(other), F.col("keep")) <= big))
+    l, r = l.filter(F.length(lkey) > 0), r.filter(F.length(rkey) > 0)
+    ll = l.select(*on, F.length(lkey).alias("ln")).distinct()
+    combos = ll.join(r.select(*on, F.length(rkey).alias("rn")).distinct(), on).withColumn(
+        "keep", F.ceil((F.col("ln") + F.col("rn")) * t).cast("int")).filter("keep <= ln and keep <= rn")
+    limit = F.log(F.lit(float(MAX_VARIANTS)))
+    combos = combos.withColumn("big", F.greatest(_n_variants(F.col("ln"), F.col("keep")),
+                                                 _n_variants(F.col("rn"), F.col("keep"))) > limit)
+    small = combos.filter("not big").drop("big")
+
+    def expand(side: DataFrame, key: str, n: str) -> DataFrame:
+        x = side.withColumn(n, F.length(key)).join(small, [*on, n])
         return x.withColumn("v", F.explode(_deletions(F.col(key), F.col("keep")))).drop("keep")
 
-    a, b = expand(l, lkey, "ln", "rn"), expand(r, rkey, "rn", "ln")
-    return a.join(b, [*on, "v", "ln", "rn"]).select(*on, lkey, rkey).distinct()
+    pairs = expand(l, lkey, "ln").join(expand(r, rkey, "rn"), [*on, "v", "ln", "rn"]).select(*on, lkey, rkey).distinct()
+    skipped = l.withColumn("ln", F.length(lkey)).join(combos.filter("big"), [*on, "ln"], "left_semi").select(*on, lkey)
+    return pairs, skipped

@@ -16,10 +16,10 @@ CTES: dict[str, str] = {}
 def oracle(body: str) -> str:
     need: list[str] = []
 
-    def visit(text: str) -> None:
-        for name in CTES:
-            if name not in need and re.search(rf"\b{name}\b", text):
-                visit(CTES[name])
+    def visit(text: str, open_names: tuple = ()) -> None:
+        for name in CTES:  # a recursive CTE mentions itself
+            if name not in need and name not in open_names and re.search(rf"\b{name}\b", text):
+                visit(CTES[name], (*open_names, name))
                 if name not in need:
                     need.append(name)
 
