@@ -90,14 +90,18 @@ def line_coverage(maps: Column) -> Column:
     return F.when(F.size(maps) > 0, F.size(matched(maps)) / F.size(maps)).otherwise(F.lit(0.0))
 
 
-def match_lines(pairs: DataFrame, invoice_lines: DataFrame, po_lines: DataFrame, policy: MatchPolicy = MATCH) -> DataFrame:
-    """L2-L4 for (company_id, document_id, po_number) pairs; keeps the columns of `pairs` and adds `maps`."""
+def match_lines(pairs: DataFrame, invoice_lines: DataFrame, po_lines: DataFrame, policy: MatchPolicy = MATCH,
+                findings: dict | None = None) -> DataFrame:
+    """L2-L4 for (company_id, document_id, po_number) pairs; keeps the columns of `pairs` and adds `maps`.
+
+    `findings` are further columns over `maps`, `inv_lines` and `po_lines`, taken before the arrays are dropped.
+    """
     i = line_arrays(invoice_lines, "document_id", "line_no", False).withColumnRenamed("lines", "inv_lines")
     p = line_arrays(po_lines, "po_number", "line_number", True).withColumnRenamed("lines", "po_lines")
     x = pairs.join(i, ["company_id", "document_id"], "left").join(p, ["company_id", "po_number"], "left")
     x = x.withColumns({"inv_lines": F.coalesce("inv_lines", F.array().cast(i.schema["inv_lines"].dataType)),
                        "po_lines": F.coalesce("po_lines", F.array().cast(p.schema["po_lines"].dataType))})
-    return assign_lines(score_matrix(x, policy), policy).drop("inv_lines", "po_lines", "scores")
+    return assign_lines(score_matrix(x, policy), policy).withColumns(findings or {}).drop("inv_lines", "po_lines", "scores")
 
 
 def balance_flags(total: Column, remaining: Column, line_flags: Column | None = None) -> Column:

@@ -12,6 +12,7 @@ from paymatch.operators import scoring as sc
 from paymatch.operators import vendors as ven
 from paymatch.plans.oracle_base import CTES, sql_description_key, sql_jaccard, sql_po_key, sql_po_key_loose, sql_vendor_key, sql_word_set
 from paymatch.plans.registry import query
+from paymatch.plans.runtime import stage
 from paymatch.policy import MATCH, MATCH_TOKENS
 
 # --- vendor resolution ----------------------------------------------------------------------------
@@ -195,9 +196,9 @@ def j12(fx):
 
 
 def candidates(fx, policy=MATCH):
-    fx.staged("vendors", "pos", "invoices", "source_records")
+    prepared(fx)
     inv = fx.invoices
-    r = cand.resolve_for(inv, fx.vendors, policy)
+    r = stage(cand.resolve_for(inv, fx.vendors, policy))
     return cand.discover(with_refs(inv), r, fx.pos, fx.vendors, fx.po_references, fx.source_records, policy)
 
 
@@ -361,12 +362,14 @@ def prepared(fx):
 
 def scored(fx, policy=MATCH_TOKENS):
     prepared(fx)
-    return mat.scored_pairs(with_refs(fx.invoices), fx.invoice_lines, masters(fx), AS_OF, policy)
+    return fx.memo(f"scored_{policy.similarity}", lambda: mat.scored_pairs(
+        with_refs(fx.invoices), fx.invoice_lines, masters(fx), AS_OF, policy))
 
 
 def packages(fx, policy=MATCH_TOKENS):
-    prepared(fx)
-    return mat.match_invoices(with_refs(fx.invoices), fx.invoice_lines, masters(fx), AS_OF, policy)
+    n = fx.invoice_lines.groupBy("company_id", "document_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return fx.memo(f"packages_{policy.similarity}", lambda: mat.match_package(
+        with_refs(fx.invoices), scored(fx, policy), n, masters(fx), cand.resolve_for(fx.invoices, fx.vendors, policy), policy))
 
 
 def own_pairs(fx):

@@ -8,6 +8,22 @@ from paymatch.plans.oracle_base import oracle
 from paymatch.sources.fixtures import Fixtures
 
 QUERIES: dict = {}
+_FIXTURES: dict = {}
+
+
+def fixtures(spark, sf_dir: str) -> Fixtures:
+    """One set of derived views per session and folder; its staged results are shared by the queries."""
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _FIXTURES:
+        _FIXTURES[key] = Fixtures(spark, str(sf_dir))
+    return _FIXTURES[key]
+
+
+def forget_fixtures() -> None:
+    """Start over, so that the next query derives everything from the given tables again."""
+    _FIXTURES.clear()
+
+
 _SQL: dict[str, str] = {}
 
 
@@ -16,7 +32,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(fixtures(spark, sf_dir))
         if sql is not None:
             _SQL[name] = sql
         return fn

@@ -30,6 +30,13 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self._staged: set[str] = set()
+        self._memo: dict[str, DataFrame] = {}
+
+    def memo(self, name: str, build) -> DataFrame:
+        """A derived result that several queries of one session share, written once."""
+        if name not in self._memo:
+            self._memo[name] = stage(build())
+        return self._memo[name]
 
     def staged(self, *names: str) -> "Fixtures":
         """Write the named views once for plans that read them many times over."""
