@@ -18,8 +18,8 @@ CTES["q_findings"] = """
   FROM q_maps m JOIN q_c_exact e ON e.document_id = m.document_id AND e.po_number = m.po_number AND e.seq = 1
   JOIN q_il i ON i.document_id = m.document_id AND i.il = m.il JOIN q_pl p ON p.po_number = m.po_number AND p.pl = m.po_line GROUP BY ALL"""
 CTES["q_dup"] = """
-  SELECT x.document_id, count(*) FILTER (p.n = x.n AND p.a = x.a) AS n_exact, count(*) FILTER (p.n = x.n AND p.a IS DISTINCT FROM x.a) AS n_number,
-    count(*) FILTER (p.n IS DISTINCT FROM x.n AND p.a = x.a AND abs(datediff('day', p.d, x.d)) <= 3) AS n_near
+  SELECT x.document_id, count(*) FILTER (p.n = x.n AND p.a = x.a) AS n_exact, count(*) FILTER (p.n = x.n AND NOT coalesce(p.a = x.a, false)) AS n_number,
+    count(*) FILTER (NOT coalesce(p.n = x.n, false) AND p.a = x.a AND abs(datediff('day', p.d, x.d)) <= 3) AS n_near
   FROM (SELECT company_id, document_id, translate(trim(upper(vendor_name)), '.,', '') AS v, upper(trim(invoice_number)) AS n, total_cents AS a, invoice_date AS d FROM v_invoices WHERE vendor_name <> '') x
   JOIN (SELECT company_id, document_id, translate(trim(upper(vendor_name)), '.,', '') AS v, upper(trim(invoice_number)) AS n, total_cents AS a, invoice_date AS d FROM q_blocking WHERE blocking AND vendor_name <> '') p
     ON p.company_id = x.company_id AND p.v = x.v AND p.document_id <> x.document_id GROUP BY 1"""
