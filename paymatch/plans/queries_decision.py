@@ -37,7 +37,7 @@ CTES["q_decision"] = f"""
 
 
 def decisions(fx):
-    return fx.memo("decisions", lambda: dec.decide(report(fx), AS_OF))
+    return fx.memo("decisions", lambda: dec.decide(report(fx), AS_OF + "Z"))
 
 
 @query("d1_decision_context", "SELECT document_id, coalesce(amount, -1) AS amount, first_payment, vstate AS vendor_status FROM q_dctx")
@@ -48,7 +48,7 @@ def d1(fx):
 
 @query("d2_decision_contract", "SELECT document_id, CASE WHEN stale THEN 'STALE_VALIDATION' ELSE '' END AS reason FROM q_dctx")
 def d2(fx):
-    return report(fx).select("document_id", F.coalesce(dec.decision_contract(AS_OF), F.lit("")).alias("reason"))
+    return report(fx).select("document_id", F.coalesce(dec.decision_contract(AS_OF + "Z"), F.lit("")).alias("reason"))
 
 
 @query("d3_hard_controls", "SELECT document_id, CASE WHEN hard THEN array_to_string(reasons, ',') ELSE '' END AS reasons FROM q_dctx")
@@ -118,7 +118,7 @@ CTES["q_auto"] = """SELECT d.company_id, d.document_id, d.po_number, d.amount FR
 
 
 def postings(fx):
-    return dec.post_allocations(dec.decide(report(fx), AS_OF, WIDE), fx.allocations, fx.pos)
+    return dec.post_allocations(dec.decide(report(fx), AS_OF + "Z", WIDE), fx.allocations, fx.pos)
 
 
 @query("d10_post_allocations", """SELECT p.po_number, (previously_invoiced + coalesce(u.used, 0))::BIGINT AS previously_invoiced FROM v_pos p
