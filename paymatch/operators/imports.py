@@ -11,6 +11,7 @@ from paymatch.functions.similarity import sequence_ratio
 from paymatch.functions.text import header_key, po_key, safe_float, safe_str, valid_po_number, vendor_key
 from paymatch.operators.ledger import number_rows
 from paymatch.operators.similar import grams, overlap_pairs, tagged
+from paymatch.plans.runtime import stage
 from paymatch.policy import ROW_PO_PLACEHOLDERS
 
 
@@ -210,6 +211,8 @@ def canonicalize(rows: DataFrame, open_pos: DataFrame, vendors: DataFrame, fuzzy
         "entity": lookup(F.col("record_type"), ip.ENTITY_OF, "unclassified"),
         "f_po": valid_po_number(c["po_number"]), "f_po_raw": safe_str(c["po_number"]),
         "vendor_name": safe_str(F.coalesce(c["vendor_name"], c["name"])), "supplier_code": safe_str(c["supplier_code"]), "tax_id": safe_str(c["tax_id"]), "vendor_id": safe_str(c["vendor_id"])})
+    # read four times below; without a cut the filters would drag the whole classification along each time
+    x = stage(x)
     firsts = x.filter("entity = 'po' and f_po is not null").groupBy("company_id", "f_po").agg(F.min("row_id").alias("first_row"))
     known = firsts.select("company_id", F.col("f_po").alias("f_po_raw")).unionByName(open_pos.select("company_id", F.col("po_number").alias("f_po_raw"))).distinct().withColumn("po_known", F.lit(True))
     res = resolve_import_vendors(x.filter("entity in ('po', 'invoice_transaction')"), vendors, fuzzy)
