@@ -62,33 +62,31 @@ def propose_mappings(catalog: DataFrame, saved: DataFrame | None = None) -> Data
 
     A fold in column order, because a canonical field is given away only once.  The array holds one file's columns.
     """
-    cols = F.array_sort(F.collect_list(F.struct("position", "column_name")))
-    x = catalog.groupBy("source_id", "entity").agg(cols.alias("cols"))
+    def scores(fields: dict, norm: Column) -> Column:
+        return F.array(*[F.struct(F.when(norm.isin(*names), 1.0).when(_any([F.contains(norm, F.lit(a)) | F.contains(F.lit(a), norm) for a in names]), 0.75)
+                                  .otherwise(0.0).alias("s"), F.lit(-i).alias("o"), F.lit(f).alias("f")) for i, (f, names) in enumerate(fields.items())])
+
+    # score every column against its entity's fields first, in generated code; the fold only picks
+    x = catalog.withColumn("norm", header_key("column_name"))
+    x = x.withColumn("opts", F.coalesce(*[F.when(F.col("entity") == e, scores(fields, F.col("norm"))) for e, fields in ip.FIELDS.items()]))
+    x = x.withColumn("opts", F.filter("opts", lambda o: o["s"] >= ip.REVIEW_BELOW))
+    x = x.groupBy("source_id", "entity").agg(F.array_sort(F.collect_list(F.struct("position", "column_name", "norm", "opts"))).alias("cols"))
     x = x.join(saved.select("source_id", "entity", "column_map"), ["source_id", "entity"], "left") if saved is not None else x.withColumn(
         "column_map", F.lit(None).cast("map<string,string>"))
     out_type = "array<struct<source_column:string,canonical_field:string,confidence:double,status:string>>"
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(out_type).alias("out"))
 
-    def scores(entity: str, norm: Column) -> Column:
-        fields = ip.FIELDS[entity]
-        one = [F.struct(F.when(norm.isin(*names), 1.0).when(_any([F.contains(norm, F.lit(a)) | F.contains(F.lit(a), norm) for a in names]), 0.75).otherwise(0.0).alias("s"),
-                        F.lit(-i).alias("o"), F.lit(f).alias("f")) for i, (f, names) in enumerate(fields.items())]
-        return F.array(*one)
-
-    def step(entity: str):
-        def run(acc: Column, c: Column) -> Column:
-            norm = header_key(c["column_name"])
-            kept = F.col("column_map")[norm]
-            best = F.array_max(F.filter(scores(entity, norm), lambda o: ~F.array_contains(acc["used"], o["f"])))
-            ok = true(best["s"] >= ip.REVIEW_BELOW)
-            field = F.when(kept.isNotNull(), kept).when(ok, best["f"])
-            conf = F.when(kept.isNotNull(), 1.0).when(ok, best["s"]).otherwise(0.0)
-            status = (F.when(kept.isNotNull(), "profile").when(ok & (best["s"] >= ip.AUTO_ACCEPT), "auto").when(ok, "review").otherwise("metadata"))
-            row = F.struct(c["column_name"].alias("source_column"), field.alias("canonical_field"), conf.alias("confidence"), status.alias("status"))
-            return F.struct(F.when(field.isNotNull(), F.array_append(acc["used"], field)).otherwise(acc["used"]).alias("used"), F.array_append(acc["out"], row).alias("out"))
-        return run
-
-    folded = F.coalesce(*[F.when(F.col("entity") == e, F.aggregate("cols", start, step(e), lambda a: a["out"])) for e in ip.FIELDS])
+    def step(acc: Column, c: Column) -> Column:
+        kept = F.col("column_map")[c["norm"]]
+        best = F.array_max(F.filter(c["opts"], lambda o: ~F.array_contains(acc["used"], o["f"])))
+        ok = best.isNotNull()
+        field = F.when(kept.isNotNull(), kept).when(ok, best["f"])
+        conf = F.when(kept.isNotNull(), 1.0).when(ok, best["s"]).otherwise(0.0)
+        status = F.when(kept.isNotNull(), "profile").when(ok & (best["s"] >= ip.AUTO_ACCEPT), "auto").when(ok, "review").otherwise("metadata")
+        row = F.struct(c["column_name"].alias("source_column"), field.alias("canonical_field"), conf.alias("confidence"), status.alias("status"))
+        return F.struct(F.when(field.isNotNull(), F.array_append(acc["used"], field)).otherwise(acc["used"]).alias("used"), F.array_append(acc["out"], row).alias("out"))
+
+    folded = F.aggregate("cols", start, step, lambda a: a["out"])
     return x.select("source_id", "entity", F.explode(folded).alias("p")).select("source_id", "entity", "p.*")
 
 
