@@ -15,9 +15,9 @@ from pyspark.sql import SparkSession
 from paymatch.plans import registry
 
 QUERIES = (
-    "c6_reconcile", "c11_route_invoice", "j4_resolve_vendor", "j7_candidates_exact_po", "j9_candidates_vendor", "j10_candidates_vendor_amount",
-    "j11_candidates_fuzzy_po", "j13_discover_candidates", "l4_assign_lines_with_sequence_ratio", "m8_match_package", "v5_duplicate_counts",
-    "v17_validation_report", "three_way_match_report", "sequential_po_balance", "e5_append_ledger", "i8_canonicalize_batch", "q4_run_stats",
+    "c6_reconcile", "c11_route_invoice", "j4_resolve_vendor", "j7_candidates_exact_po", "j11_candidates_fuzzy_po",
+    "l4_assign_lines_with_sequence_ratio", "v5_duplicate_counts", "three_way_match_report", "sequential_po_balance", "e5_append_ledger",
+    "q4_run_stats",
 )
 
 

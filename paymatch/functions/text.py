@@ -85,9 +85,11 @@ def word_set(key) -> Column:
 
 def jaccard(a, b) -> Column:
     """Token overlap of two token sets; 0 when either is empty."""
-    common = F.size(F.array_intersect(col(a), col(b)))
-    union = F.size(col(a)) + F.size(col(b)) - common
-    return F.when((F.size(col(a)) > 0) & (F.size(col(b)) > 0), common / union).otherwise(F.lit(0.0))
+    both = F.size(col(a)) + F.size(col(b))
+    # a one-element array binds the intersection size, so that it is worked out once even inside a lambda
+    common = F.array(F.size(F.array_intersect(col(a), col(b))))
+    share = F.get(F.transform(common, lambda c: c / (both - c)), F.lit(0))
+    return F.when((F.size(col(a)) > 0) & (F.size(col(b)) > 0), share).otherwise(F.lit(0.0))
 
 
 def duplicate_vendor_key(name) -> Column:
