@@ -11,9 +11,13 @@ _LOCAL: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in `spark.checkpoint.dir`; a private one only where it is unset."""
+    """The shared folder the cluster names in `spark.checkpoint.dir`; a private one only on a local master where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return path or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="paymatch-"))
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="paymatch-"))
 
 
 def stage(df: DataFrame) -> DataFrame:
