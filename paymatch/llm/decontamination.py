@@ -63,7 +63,7 @@ def _doc_anchors(window: int, gram: int, sent):
                     found += [_anchor(words, h, int(p), k, 0) for h, p in zip(signed(hashes[at]), at)]
                 out.append(found)
             yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(n_words, pa.int64()), pa.array(out, _ARROW)],
-                                             names=["doc_id", "n_words", "anchors"])
+                                             names=["doc", "n_words", "anchors"])
     return run
 
 
@@ -73,27 +73,18 @@ def _common(a: str, b: str):
     return F.when(differs > 0, differs - 1).otherwise(F.least(F.size(a), F.size(b)))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one for each row of `docs` (doc_id, text).
-
-    `items` (item_id, text) holds the benchmark.  A document word is hit if it lies in an occurrence of `window` consecutive
-    item words; an item with fewer words is one window, one without words none.  Of each window both sides keep the k-gram
-    with the smallest hash (k = `gram`), so each shared window shares an anchor.  Documents send only anchors that pass a
-    bit map of the item anchors (fixed size) into the join, each with the words around it; a hit is extended word by word
-    on both sides, so hashes decide nothing, and counts if the match reaches the window.
-
-    Null or empty texts have no words and no hits; repeated rows get a row each; repeated items, and null item ids (left out of
-    the list), are one id; empty tables give no rows or no hits; other columns are ignored.
-    """
+def _met(docs: DataFrame, items: DataFrame, window: int, gram: int, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Staged rows (row, doc_id, n_words) with the `carried` columns as struct `doc`, and (row, item_id, start, end) of matches."""
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
     spark = docs.sparkSession
-    doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id")))
+    item_kind = items.schema["item_id"].dataType.simpleString()
     tests = stage(items.select("item_id", "text").mapInArrow(_item_anchors(window, gram), f"item_id {item_kind}, anchors {_ANCHORS}")
                   .select("item_id", F.explode("anchors").alias("i")).select("item_id", "i.*"))
     short = [r.k for r in tests.select("k").where(F.col("k") < window).where(F.size("after") + F.size("before") == 0).distinct().collect()]
     sent = spark.sparkContext.broadcast((sketches.bitmap(tests, "hash"), sorted(short)))
-    seen = stage(docs.select("doc_id", "text").mapInArrow(_doc_anchors(window, gram, sent), f"doc_id {doc_kind}, n_words bigint, anchors {_ANCHORS}")
+    doc = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("doc"), "text")
+    seen = stage(doc.mapInArrow(_doc_anchors(window, gram, sent), f"doc {doc.schema['doc'].dataType.simpleString()}, n_words bigint, anchors {_ANCHORS}")
                  .withColumn("row", F.monotonically_increasing_id()))
     hits = seen.select("row", F.explode("anchors").alias("d")).select("row", "d.*")
     met = (hits.join(tests.select("hash", "k", "item_id", *(F.col(c).alias(f"i_{c}") for c in ("before", "gram", "after"))), ["hash", "k"])
@@ -101,12 +92,34 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
            .withColumns({"left": _common("before", "i_before"), "right": _common("after", "i_after")})
            .where((F.col("left") + F.col("k") + F.col("right") >= window) | ((F.size("i_before") + F.size("i_after") == 0) & (F.col("k") < window)))
            .select("row", "item_id", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("k") + F.col("right")).alias("end")))
-    met = stage(met.distinct())
+    return seen.drop("anchors"), stage(met.distinct())
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one for each row of `docs` (doc_id, text).
+
+    `items` (item_id, text) holds the benchmark.  A document word is hit if it lies in an occurrence of `window` consecutive
+    item words; an item with fewer words is one window, one without words none.  Of each window both sides keep the k-gram
+    with the smallest hash (k = `gram`), so each shared window shares an anchor.  Documents send only anchors that pass a
+    bit map of the item anchors (fixed size) into the join, each with the words around it; a hit is extended word by word
+    on both sides, so hashes decide nothing, and counts if the match reaches the window.
+
+    Null or empty texts have no words and no hits; repeated rows get a row each; repeated items, and null item ids (left out of
+    the list), are one id; empty tables give no rows or no hits; other columns are ignored.
+    """
+    seen, met = _met(docs, items, window, gram, ["doc_id"])
     by_row = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     words = (met.select("row", "start", "end").distinct().withColumn("reached", F.coalesce(F.max("end").over(by_row), F.lit(0)))
              .groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).alias("n_hit")))
     lists = (met.where("item_id is not null").groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return (seen.select("row", "doc_id", "n_words").join(words, "row", "left").join(lists, "row", "left")
+    return (seen.select("row", "doc.doc_id", "n_words").join(words, "row", "left").join(lists, "row", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
                     F.sha2(F.concat_ws(",", items_), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+    """The rows of `docs` in which no window of an item occurs, all columns kept; null and empty texts stay."""
+    seen, met = _met(docs, items, window, gram, docs.columns)
+    clean = seen.join(met.select("row").distinct(), "row", "left_anti")
+    return clean.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

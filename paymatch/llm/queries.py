@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paymatch.llm import decontamination, fingerprints, ngram_join, packing, secret_scan, substring_dedup, token_counts
+from paymatch.llm import (
+    decontamination,
+    fingerprints,
+    html_extract,
+    ngram_join,
+    packing,
+    quality,
+    secret_scan,
+    substring_dedup,
+    token_counts,
+    warc_fixity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,6 +46,17 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return warc_fixity.audit(pages, warc_fixity.damaged(pages))
+
+
 @_query
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
@@ -53,3 +75,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
