@@ -18,6 +18,7 @@ from paymatch.llm import (
     token_counts,
     warc_fixity,
 )
+from paymatch.llm.oracles import SQL as SQL  # the registry reads it here
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,7 +65,7 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100).drop("n_links")
 
 
 @_query
