@@ -1,10 +1,9 @@
 """Purchase-order candidates per invoice.
 
 Every strategy yields (company_id, document_id, po_number, method, confidence, strategy, seq): `strategy` is the
-retrieval order, `seq` the order inside it.  At most `max_candidates` survive per invoice, and within one
-strategy all hits of one lookup key share a confidence, so each lookup key is first cut to its leading orders.
-That keeps a hot vendor or number from fanning out, and it is exact: an order beyond the lead of its key can
-never rank among the invoice's survivors.
+retrieval order, `seq` the order inside it.  A strategy returns all hits, or with k the first k of each lookup key; only
+`discover` asks for a cut, because at most `max_candidates` survive per invoice there.  All hits of one lookup
+key share a confidence, so an order beyond the lead of its key can never rank among the invoice's survivors.
 """
 
 from __future__ import annotations
@@ -27,10 +26,10 @@ from paymatch.policy import MATCH, MatchPolicy
 OUT = ("company_id", "document_id", "po_number", "method", "confidence", "strategy", "seq")
 
 
-def lead(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    """First k rows per key.  Spark limits each partition before the shuffle, so hot keys stay cheap."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(
-        F.col("_r") <= k).withColumnRenamed("_r", "seq")
+def lead(df: DataFrame, keys: list[str], order: list, k: int | None) -> DataFrame:
+    """First k rows per key (None: all), numbered.  Spark limits each partition before the shuffle, so hot keys stay cheap."""
+    ranked = df.withColumn("seq", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked if k is None else ranked.filter(F.col("seq") <= k)
 
 
 def source_record_orders(records: DataFrame) -> DataFrame:
@@ -61,7 +60,7 @@ def hide_seed_orders(hits: DataFrame, flags: DataFrame, keys: list[str]) -> Data
         ~(true(F.col("has_import")) & F.col("_any")) | F.col("import_derived")).drop("_any", "has_import")
 
 
-def lead_visible(df: DataFrame, flags: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+def lead_visible(df: DataFrame, flags: DataFrame, keys: list[str], order: list, k: int | None) -> DataFrame:
     """`lead` after J14: imported orders go first, and push the others out where the company imported data."""
     x = df.join(flags.select("company_id", "has_import"), "company_id", "left").withColumn(
         "_imp", true(F.col("has_import")) & F.col("import_derived"))
@@ -70,7 +69,7 @@ def lead_visible(df: DataFrame, flags: DataFrame, keys: list[str], order: list,
 
 
 def only_imported(lists: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep the `_imp` rows of every list that has any.  The lists are already cut to a fixed length."""
+    """Keep the `_imp` rows of every list that has any."""
     any_import = F.max("_imp").over(W.partitionBy(*keys))
     return lists.withColumn("_any", any_import).filter(~F.col("_any") | F.col("_imp")).drop("_any", "_imp")
 
@@ -82,40 +81,42 @@ def _emit(df: DataFrame, method, confidence, strategy: int) -> DataFrame:
                      F.lit(strategy).alias("strategy"), F.col("seq").cast("bigint").alias("seq"))
 
 
-def by_source_invoice(inv: DataFrame, records: DataFrame, policy: MatchPolicy = MATCH) -> DataFrame:
-    """J5.  Imported transactions with the same number and a vendor key containing, or contained in, the printed one."""
+def by_source_invoice(inv: DataFrame, records: DataFrame, k: int | None = None) -> DataFrame:
+    """J5.  Imported transactions with the same number and a vendor key containing, or contained in, the printed one: all, or
+    the first k of an invoice."""
     so = source_record_orders(records).filter("invoice_number is not null")
     top = lead(so.groupBy("company_id", "invoice_number", "vkey", "po_number").agg(F.min("source_record_id").alias("sid")),
-               ["company_id", "invoice_number", "vkey"], ["sid"], policy.max_candidates)
+               ["company_id", "invoice_number", "vkey"], ["sid"], k)
     x = inv.filter("invoice_number is not null and vendor_name <> ''").select(
         "company_id", "document_id", "invoice_number", vendor_key("vendor_name").alias("ikey"))
     on = ["company_id", "invoice_number"]
     pairs = containment_pairs(x, top, on, "ikey", "vkey")
     hits = pairs.join(top, [*on, "vkey"])
     best = hits.groupBy(*on, "ikey", "po_number").agg(F.min("sid").alias("sid"))
-    best = lead(best, [*on, "ikey"], ["sid"], policy.max_candidates)
+    best = lead(best, [*on, "ikey"], ["sid"], k)
     return _emit(x.join(best, [*on, "ikey"]), "source_record_invoice", 0.88, 1)
 
 
-def by_reference(inv: DataFrame, references: DataFrame, pos: DataFrame, policy: MatchPolicy = MATCH) -> DataFrame:
-    """J6.  `inv` carries `refs` ARRAY<STRUCT<type, value>> in lookup order."""
+def by_reference(inv: DataFrame, references: DataFrame, pos: DataFrame, k: int | None = None) -> DataFrame:
+    """J6.  `inv` carries `refs` ARRAY<STRUCT<type, value>> in lookup order.  All orders, or the first k of each reference."""
     r = references.select("company_id", "po_number", F.col("reference_type").alias("rt"), po_key("reference_value").alias("rv"))
     r = r.join(pos.select("company_id", "po_number"), ["company_id", "po_number"], "left_semi").distinct()
-    top = lead(r, ["company_id", "rt", "rv"], ["po_number"], policy.max_candidates).withColumnRenamed("seq", "rn")
+    top = lead(r, ["company_id", "rt", "rv"], ["po_number"], k).withColumnRenamed("seq", "rn")
     x = inv.select("company_id", "document_id", F.posexplode("refs").alias("i", "ref")).select(
         "company_id", "document_id", "i", F.col("ref.type").alias("rt"), po_key(F.col("ref.value")).alias("rv"))
     hits = x.join(top, ["company_id", "rt", "rv"]).groupBy("company_id", "document_id", "po_number").agg(
-        F.min(F.col("i") * policy.max_candidates + F.col("rn")).alias("seq"))
+        F.min(F.col("i").cast("long") * 2**32 + F.col("rn")).alias("seq"))
     return _emit(hits, "reference", 0.9, 2)
 
 
-def by_number(inv: DataFrame, pos: DataFrame, flags: DataFrame, policy: MatchPolicy = MATCH) -> DataFrame:
-    """J7 and J8.  Stored number, else dash- and space-insensitive (any status); only then B4 among open orders."""
+def by_number(inv: DataFrame, pos: DataFrame, flags: DataFrame, k: int | None = None) -> DataFrame:
+    """J7 and J8.  Stored number, else dash- and space-insensitive (any status); only then B4 among open orders.  All orders,
+    or the first k of each number."""
     x = inv.filter("po_value <> ''").select("company_id", "document_id", "po_value")
     p = pos.select("company_id", "po_number", "status", "import_derived")
 
     def probe(left: DataFrame, right: DataFrame, lkey: Column, rkey: Column) -> DataFrame:
-        top = lead_visible(right.withColumn("_k", rkey), flags, ["company_id", "_k"], ["po_number"], policy.max_candidates)
+        top = lead_visible(right.withColumn("_k", rkey), flags, ["company_id", "_k"], ["po_number"], k)
         return left.withColumn("_k", lkey).join(top, ["company_id", "_k"]).drop("_k")
 
     exact = probe(x, p, F.col("po_value"), F.col("po_number"))
@@ -129,13 +130,12 @@ def by_number(inv: DataFrame, pos: DataFrame, flags: DataFrame, policy: MatchPol
     return _emit(hit, "exact", 1.0, 3).unionByName(_emit(normal, "normalized", 0.85, 4))
 
 
-def vendor_order_lists(pos: DataFrame, vendors: DataFrame, flags: DataFrame, policy: MatchPolicy = MATCH):
+def vendor_order_lists(pos: DataFrame, vendors: DataFrame, flags: DataFrame, k: int | None):
     """Leading open orders per vendor id, and per vendor name key (own header name first, then the master name)."""
     m = vendors.select("company_id", "vendor_id", vendor_key("normalized_name").alias("mkey"))
     p = pos.filter("status = 'open'").select(
         "company_id", "po_number", "vendor_id", "vendor_name", "import_derived",
         F.when(F.col("import_derived"), "import_derived").alias("imp"))
-    k = policy.max_candidates
     by_id = lead_visible(p, flags, ["company_id", "vendor_id"], ["po_number"], k).drop("vendor_name", "_imp")
     visible = p.join(flags, "company_id", "left").filter(
         ~(true(F.col("has_import")) & true(F.col("open_import"))) | F.col("import_derived"))
@@ -144,18 +144,67 @@ def vendor_order_lists(pos: DataFrame, vendors: DataFrame, flags: DataFrame, pol
     master = named.filter("mkey is not null and (mkey <> key or vendor_name = '')").select(
         "company_id", "po_number", "imp", "import_derived", F.col("mkey").alias("key"), F.lit(0.65).alias("conf"))
     # the id list may already hold up to k of these, hence the deeper lead
-    by_name = lead(own.unionByName(master), ["company_id", "key"], [F.col("conf").desc(), "po_number"], 2 * k)
+    by_name = lead(own.unionByName(master), ["company_id", "key"], [F.col("conf").desc(), "po_number"], k and 2 * k)
     return by_id, by_name
 
 
-def by_vendor(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendors: DataFrame, records: DataFrame,
-              flags: DataFrame, policy: MatchPolicy = MATCH) -> DataFrame:
-    """J9.  Open orders of the vendor: by id, by name, and imported transactions by name containment.
+def claims(pos: DataFrame, vendors: DataFrame, flags: DataFrame) -> DataFrame:
+    """Open orders with what finds them: the vendor id where the id list shows them, the own and master name keys where the
+    name list does."""
+    m = vendors.select("company_id", "vendor_id", vendor_key("normalized_name").alias("mkey"))
+    p = pos.filter("status = 'open'").join(flags, "company_id", "left").join(m, ["company_id", "vendor_id"], "left")
+    any_import = p.groupBy("company_id", "vendor_id").agg(F.bool_or("import_derived").alias("_any"))
+    p = p.join(any_import, ["company_id", "vendor_id"], "left")
+    in_ids = ~(true(F.col("has_import")) & true(F.col("_any"))) | F.col("import_derived")
+    in_names = ~(true(F.col("has_import")) & true(F.col("open_import"))) | F.col("import_derived")
+    own = F.when(F.col("vendor_name") != "", vendor_key("vendor_name"))
+    return p.select("company_id", "po_number", "import_derived", (F.col("total_amount") - F.col("previously_invoiced")).alias("remaining"),
+                    F.when(in_ids, F.col("vendor_id")).alias("vid"), F.when(in_names, own).alias("own"),
+                    F.when(in_names & F.col("mkey").isNotNull(), F.col("mkey")).alias("master"))
+
+
+_CLAIM = ("vid", "own", "master")
+
+
+def record_orders(records: DataFrame, pos: DataFrame, vendors: DataFrame, flags: DataFrame) -> DataFrame:
+    """Distinct orders of imported transactions per vendor key, newest record first (`at`), with what claims their number."""
+    so = source_record_orders(records)
+    newest = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), F.col("source_record_id").alias("sid"))
+    so = so.groupBy("company_id", "vkey", "po_number").agg(F.min(newest).alias("at"), F.min_by("total_amount", newest).alias("remaining"))
+    return so.join(claims(pos, vendors, flags).select("company_id", "po_number", *_CLAIM), ["company_id", "po_number"], "left")
+
+
+def record_lists(records: DataFrame, pos: DataFrame, vendors: DataFrame, flags: DataFrame, k: int) -> DataFrame:
+    """The first k of those orders for each vendor key and claim: whatever claims a name rules out, the rest holds its first k."""
+    return lead(record_orders(records, pos, vendors, flags), ["company_id", "vkey", *_CLAIM], ["at"], k).drop("seq")
+
+
+def ids_or_none(names: DataFrame, resolved: DataFrame) -> DataFrame:
+    return names.join(resolved.select("company_id", "vendor_name", "vendor_id"), ["company_id", "vendor_name"], "left")
+
+
+def unclaimed() -> Column:
+    """Whether an order's number is found neither by the name's vendor id nor by its key."""
+    by_id = F.col("vid").isNotNull() & (F.col("vendor_id") != "") & (F.col("vid") == F.col("vendor_id"))
+    return ~(true(by_id) | true(F.col("own") == F.col("key")) | true(F.col("master") == F.col("key")))
+
+
+def record_hits(names: DataFrame, orders: DataFrame) -> DataFrame:
+    """Orders whose vendor key contains, or is contained in, a name's, unless the order lists hold them already."""
+    keys = names.select("company_id", "key").distinct()
+    vkeys = orders.select("company_id", "vkey").distinct()
+    pairs = containment_pairs(keys, vkeys, ["company_id"], "key", "vkey")
+    return names.join(pairs, ["company_id", "key"]).join(orders, ["company_id", "vkey"]).filter(unclaimed())
 
-    Worked out once per distinct (company, printed name), then joined to the invoices.
+
+def vendor_lists(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendors: DataFrame, records: DataFrame,
+                 flags: DataFrame, k: int | None = None) -> DataFrame:
+    """J9 per distinct printed name: open orders by vendor id, by name, and imported transactions by name containment.
+
+    All orders, or the first k by confidence.  Record orders are made distinct, and those that the uncut id or name list
+    holds are taken out, before anything is cut.
     """
-    k = policy.max_candidates
-    by_id, by_name = vendor_order_lists(pos, vendors, flags, policy)
+    by_id, by_name = vendor_order_lists(pos, vendors, flags, k)
     names = inv.filter("vendor_name <> ''").select("company_id", "vendor_name").distinct().withColumn(
         "key", vendor_key("vendor_name"))
     ids = names.join(resolved.select("company_id", "vendor_name", "vendor_id"), ["company_id", "vendor_name"])
@@ -166,12 +215,9 @@ def by_vendor(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendors: Data
     b = names.join(by_name, ["company_id", "key"]).select(
         *on, "po_number", "import_derived", F.coalesce("imp", F.lit("vendor_name")).alias("method"),
         "conf", F.lit(2).alias("tier"), "seq")
-    so = source_record_orders(records)
-    rec = lead(so, ["company_id", "vkey"], [F.col("created_at").desc(), "source_record_id"], 3 * k)
-    pairs = containment_pairs(names, rec, ["company_id"], "key", "vkey")
-    s = pairs.join(rec.drop("seq"), ["company_id", "vkey"])
-    s = lead(s, ["company_id", "key"], [F.col("created_at").desc(), "source_record_id"], 3 * k)
-    c = names.join(s.select("company_id", "key", "po_number", "seq"), ["company_id", "key"]).select(
+    s = record_hits(ids_or_none(names, resolved), record_lists(records, pos, vendors, flags, k))
+    s = s.groupBy(*on, "po_number").agg(F.min("at").alias("at"))
+    c = lead(s, on, ["at"], k).select(
         *on, "po_number", F.lit(True).alias("import_derived"), F.lit("source_record").alias("method"),
         F.lit(0.72).alias("conf"), F.lit(3).alias("tier"), "seq")
     hits = a.unionByName(b).unionByName(c).join(flags.select("company_id", "has_import"), "company_id", "left")
@@ -179,8 +225,14 @@ def by_vendor(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendors: Data
     first = hits.groupBy(*on, "po_number").agg(F.min(F.struct("tier", "seq", "method", "conf")).alias("h")).select(
         *on, "po_number", "h.*")
     # higher confidences come first in the end; keep enough of them per name
-    first = first.withColumn("seq", F.col("tier") * 1000 + F.col("seq"))
-    top = lead(first.withColumnRenamed("seq", "pos"), on, [F.col("conf").desc(), "pos"], k)
+    return lead(first.withColumnRenamed("seq", "pos"), on, [F.col("conf").desc(), "tier", "pos"], k)
+
+
+def by_vendor(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendors: DataFrame, records: DataFrame,
+              flags: DataFrame, k: int | None = None) -> DataFrame:
+    """J9.  The vendor's orders (`vendor_lists`) joined to the invoices."""
+    on = ["company_id", "vendor_name"]
+    top = vendor_lists(inv, resolved, pos, vendors, records, flags, k)
     return _emit(inv.select("company_id", "document_id", "vendor_name").join(top, on), F.col("method"), F.col("conf"), 5)
 
 
@@ -231,7 +283,7 @@ def by_broadcast(inv: DataFrame, pos: DataFrame, policy: MatchPolicy = MATCH) ->
 
 
 # --- J10: vendor and amount -----------------------------------------------------------------------
-_LEVELS = 20  # base-4 digits: amounts below 4^20 cents
+_LEVELS = 32  # base-4 digits of a positive BIGINT
 
 
 def _digit_nodes(amount: Column, upper: bool) -> Column:
@@ -239,7 +291,7 @@ def _digit_nodes(amount: Column, upper: bool) -> Column:
     nodes = []
     for level in range(_LEVELS):
         digit = F.shiftright(amount, 2 * level).bitwiseAND(F.lit(3))
-        parent = F.shiftright(amount, 2 * level + 2)
+        parent = F.shiftright(amount, 2 * level + 2) if level < _LEVELS - 1 else F.lit(0).cast("long")
         for d in (1, 2, 3) if upper else (0, 1, 2):
             cond = digit < d if upper else digit > d
             nodes.append(F.when(cond, F.struct(F.lit(level).alias("level"), (parent * 4 + d).alias("node"))))
@@ -248,43 +300,67 @@ def _digit_nodes(amount: Column, upper: bool) -> Column:
     return F.array_compact(F.array(*nodes))
 
 
-def by_vendor_amount(inv: DataFrame, resolved: DataFrame, pos: DataFrame, policy: MatchPolicy = MATCH) -> DataFrame:
+def _vendor_stock(records: DataFrame, pos: DataFrame, vendors: DataFrame, flags: DataFrame) -> DataFrame:
+    """Open balances under every key that finds them (vk), with the order of the lists: tier, then `at`."""
+    claim = lambda kind, c: F.when(F.col(c).isNotNull() & (F.col(c) != "" if c == "vid" else F.lit(True)), F.struct(F.concat(F.lit(kind), F.col(c)).alias("vk"), F.lit(1 if c == "vid" else 2).alias("tier")))
+    master = F.when(~true(F.col("own") == F.col("master")), F.col("master"))
+    p = claims(pos, vendors, flags).filter("remaining > 0").withColumn("master", master)
+    p = p.select("company_id", "po_number", "import_derived", "remaining", F.lit(0).cast("long").alias("age"), F.col("po_number").alias("sid"),
+                 F.explode(F.array_compact(F.array(claim("id:", "vid"), claim("nm:", "own"), claim("nm:", "master")))).alias("x"))
+    r = record_orders(records, pos, vendors, flags).filter("remaining > 0").select(
+        "company_id", "po_number", F.lit(True).alias("import_derived"), "remaining", "at.age", "at.sid", F.struct(_record_key().alias("vk"), F.lit(3).alias("tier")).alias("x"))
+    return p.unionByName(r).select("company_id", "x.vk", "x.tier", F.col("import_derived").alias("imp"), "po_number", "remaining", "age", "sid")
+
+
+def _record_key() -> Column:
+    return F.concat_ws("\u0001", F.lit("rec"), "vkey", *(F.coalesce(c, F.lit("\u0002")) for c in _CLAIM))
+
+
+def by_vendor_amount(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendors: DataFrame, records: DataFrame, flags: DataFrame,
+                     policy: MatchPolicy = MATCH) -> DataFrame:
     """J10.  The ten best open orders of the vendor whose remaining balance covers the total, within 15 %.
 
-    Orders hang in a radix tree over their remaining cents, per vendor; every node keeps its first ten orders by
-    order number and its ten largest balances.  An invoice reads the few dozen nodes that tile its amount range,
-    so the work per invoice does not depend on how many orders a vendor has.
+    The orders are those of the vendor strategy, all of them: by id, by own and master name, and imported transactions by
+    name containment that the others do not claim; where the company imported data and the list holds imported orders, only
+    those.  Orders hang in a radix tree over their remaining cents, per key that finds them; every node keeps its first ten
+    orders in list order and its ten largest balances.  An invoice reads the few dozen nodes that tile its amount
+    range, so the work per invoice does not depend on how many orders a vendor has.
     """
     k = policy.vendor_amount_top
-    p = pos.filter("status = 'open'").select(
-        "company_id", "vendor_id", "vendor_name", "po_number", (F.col("total_amount") - F.col("previously_invoiced")).alias("remaining"))
-    p = p.filter(f"remaining > 0 and remaining < {4 ** _LEVELS}")
-    keyed = p.select("company_id", F.explode(F.array(
-        F.struct(F.concat(F.lit("id:"), "vendor_id").alias("vk"), F.lit(1).alias("tier")),
-        F.struct(F.concat(F.lit("nm:"), vendor_key("vendor_name")).alias("vk"), F.lit(2).alias("tier")))).alias("x"),
-        "po_number", "remaining").select("company_id", "x.*", "po_number", "remaining")
-    node = keyed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))).withColumn(
+    stock = stage(_vendor_stock(records, pos, vendors, flags))
+    node = stock.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))).withColumn(
         "node", F.call_function("shiftright", F.col("remaining"), (F.col("level") * 2).cast("int")))
-    nk = ["company_id", "vk", "level", "node"]
-    first = lead(node, nk, ["po_number"], k).drop("seq")
-    largest = lead(node, nk, [F.col("remaining").desc(), "po_number"], k).drop("seq")
+    nk = ["company_id", "vk", "imp", "level", "node"]
+    first = lead(node, nk, ["tier", "age", "sid", "po_number"], k).drop("seq")
+    largest = lead(node, nk, [F.col("remaining").desc(), "age", "sid", "po_number"], k).drop("seq")
+
+    x = inv.filter(suggestion_mode()).filter("total_cents is not null and vendor_name <> ''")
+    on = ["company_id", "vendor_name"]
+    names = ids_or_none(x.select(*on).distinct().withColumn("key", vendor_key("vendor_name")), resolved)
+    keys = names.select(*on, F.explode(F.array_compact(F.array(
+        F.when(F.col("vendor_id").isNotNull() & (F.col("vendor_id") != ""), F.concat(F.lit("id:"), "vendor_id")), F.concat(F.lit("nm:"), "key")))).alias("vk"))
+    # claims of records without an amount left still rule them out, hence all records here
+    groups = record_orders(records, pos, vendors, flags).select("company_id", "vkey", *_CLAIM, _record_key().alias("vk")).distinct()
+    keys = stage(keys.unionByName(record_hits(names, groups).select(*on, "vk")))
+    # J14 looks at the whole list, whatever the balances
+    every = claims(pos, vendors, flags).filter("import_derived").select("company_id", F.explode(F.array_compact(F.array(
+        F.when(F.col("vid") != "", F.concat(F.lit("id:"), "vid")), F.concat(F.lit("nm:"), "own"), F.concat(F.lit("nm:"), "master")))).alias("vk")).distinct()
+    imported = keys.join(every, ["company_id", "vk"], "left_semi").union(keys.filter(F.startswith("vk", F.lit("rec")))).select(*on).distinct()
+    hide = imported.join(flags.filter("has_import").select("company_id"), "company_id", "left_semi").withColumn("hide", F.lit(True))
+    keys = keys.join(hide, on, "left").withColumn("imp", F.explode(F.when(F.col("hide"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False))))).drop("hide")
 
-    x = inv.filter(suggestion_mode()).filter(f"total_cents is not null and total_cents < {4 ** _LEVELS}")
-    x = x.join(resolved.select("company_id", "vendor_name", "vendor_id"), ["company_id", "vendor_name"], "left")
     t = F.greatest(F.col("total_cents"), F.lit(0))
-    x = x.filter("vendor_name <> ''").select(
-        "company_id", "document_id", "total_cents", t.alias("t"), F.explode(F.array_compact(F.array(
-            F.when(F.col("vendor_id").isNotNull(), F.concat(F.lit("id:"), "vendor_id")),
-            F.concat(F.lit("nm:"), vendor_key("vendor_name"))))).alias("vk"))
+    x = x.select(*on, "document_id", "total_cents", t.alias("t")).join(keys, on)
     fits = x.withColumn("n", F.explode(_digit_nodes(F.col("t"), True))).select("*", "n.level", "n.node").drop("n").join(first, nk)
     over = x.withColumn("n", F.explode(_digit_nodes(F.col("t"), False))).select("*", "n.level", "n.node").drop("n").join(largest, nk)
     excess = (F.col("total_cents") - F.col("remaining")) / F.col("remaining")
     over = over.filter(F.col("total_cents") <= F.col("remaining") * (1 + policy.vendor_amount_tolerance))
-    cols = ["company_id", "document_id", "total_cents", "po_number", "remaining", "tier"]
-    hits = fits.select(*cols, F.lit(0.85).alias("confidence")).unionByName(
-        over.select(*cols, F.greatest(F.lit(0.3), F.lit(0.85) - excess * 2).alias("confidence")))
-    hits = hits.groupBy(*cols[:-1], "confidence").agg(F.min("tier").alias("tier"))
-    top = lead(hits, ["company_id", "document_id"], [F.col("confidence").desc(), "tier", "po_number"], k)
+    cols = ["company_id", "document_id", "total_cents", "po_number"]
+    order = F.struct("tier", "age", "sid", "remaining", "confidence")
+    hits = fits.withColumn("confidence", F.lit(0.85)).unionByName(
+        over.withColumn("confidence", F.greatest(F.lit(0.3), F.lit(0.85) - excess * 2)))
+    hits = hits.groupBy(*cols).agg(F.min(order).alias("h")).select(*cols, "h.*")
+    top = lead(hits, ["company_id", "document_id"], [F.col("confidence").desc(), "tier", "age", "sid", "po_number"], k)
     n = F.count(F.lit(1)).over(W.partitionBy("company_id", "document_id"))
     tight = F.abs(F.col("total_cents") - F.col("remaining")) <= F.col("remaining") * policy.unique_tolerance
     unique = (n == 1) & tight
@@ -300,15 +376,16 @@ def discover(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendors: DataF
     The vendor-amount strategy searches the same orders as the vendor strategy, which has already claimed them,
     so it cannot add to the union and is left out here.
     """
+    k = policy.max_candidates
     flags = stage(tenant_flags(pos, records))
     lookups = stage(reduce(DataFrame.unionByName, [
-        by_source_invoice(inv, records, policy), by_reference(inv, references, pos, policy), by_number(inv, pos, flags, policy)]))
+        by_source_invoice(inv, records, k), by_reference(inv, references, pos, k), by_number(inv, pos, flags, k)]))
     # a trusted printed number that is not in the master must not fall back to the vendor's other orders
     trusted = ~suggestion_mode() & (po_presence() == "po_invoice")
     found = lookups.filter(F.col("method").isin("exact", "normalized", "reference")).select("document_id").distinct()
     barred = inv.filter(trusted).select("document_id").join(found, "document_id", "left_anti")
     open_inv = inv.join(barred, "document_id", "left_anti")
-    union = lookups.unionByName(by_vendor(open_inv, resolved, pos, vendors, records, flags, policy))
+    union = lookups.unionByName(by_vendor(open_inv, resolved, pos, vendors, records, flags, k))
     union = stage(union)
     expand = (confidence_gate() == "expand") | (suggestion_mode() & (po_presence() == "non_po"))
     if policy.similarity != "tokens":

@@ -96,20 +96,20 @@ CTES["q_c_normalized"] = f"""
     WHERE i.document_id NOT IN (SELECT document_id FROM q_c_exact))) WHERE NOT any_imp OR imp"""
 CTES["q_v_hits"] = f"""
   SELECT n.company_id, n.vendor_name, p.po_number, p.import_derived, CASE WHEN p.import_derived THEN 'import_derived' ELSE 'vendor_search' END AS method,
-         0.75e0 AS conf, 1 AS tier, p.po_number AS ord FROM q_names n JOIN q_resolved r ON r.company_id = n.company_id AND r.vendor_name = n.vendor_name
+         0.75e0 AS conf, 1 AS tier, p.po_number AS ord, p.total_amount - p.previously_invoiced AS remaining FROM q_names n JOIN q_resolved r ON r.company_id = n.company_id AND r.vendor_name = n.vendor_name
     JOIN (SELECT p.*, bool_or(has_import AND import_derived) OVER (PARTITION BY p.company_id, vendor_id) AS hide FROM v_pos p JOIN q_flags f ON f.company_id = p.company_id
           WHERE status = 'open') p ON p.company_id = n.company_id AND p.vendor_id = r.vendor_id WHERE NOT hide OR p.import_derived
   UNION ALL
   SELECT n.company_id, n.vendor_name, p.po_number, p.import_derived, CASE WHEN p.import_derived THEN 'import_derived' ELSE 'vendor_name' END,
-         CASE WHEN pkey = n.key AND p.vendor_name <> '' THEN 0.70e0 ELSE 0.65e0 END, 2, p.po_number
+         CASE WHEN pkey = n.key AND p.vendor_name <> '' THEN 0.70e0 ELSE 0.65e0 END, 2, p.po_number, p.total_amount - p.previously_invoiced
     FROM q_names n JOIN (SELECT p.*, {sql_vendor_key('p.vendor_name')} AS pkey, {sql_vendor_key('v.normalized_name')} AS mkey FROM v_pos p
       JOIN q_flags f ON f.company_id = p.company_id LEFT JOIN v_vendors v ON v.company_id = p.company_id AND v.vendor_id = p.vendor_id
       WHERE p.status = 'open' AND (NOT (has_import AND open_import) OR import_derived)) p ON p.company_id = n.company_id AND (pkey = n.key OR mkey = n.key)
   UNION ALL
-  SELECT n.company_id, n.vendor_name, s.po_number, true, 'source_record', 0.72e0, 3, lpad((9999999999 - epoch(s.created_at))::BIGINT::VARCHAR, 12, '0') || s.source_record_id
+  SELECT n.company_id, n.vendor_name, s.po_number, true, 'source_record', 0.72e0, 3, lpad((9999999999 - epoch(s.created_at))::BIGINT::VARCHAR, 12, '0') || s.source_record_id, s.invoice_total
     FROM q_names n JOIN q_source_orders s ON s.company_id = n.company_id AND (contains(s.vkey, n.key) OR contains(n.key, s.vkey))"""
 CTES["q_v_lists"] = """
-  SELECT company_id, vendor_name, po_number, method, conf, row_number() OVER (PARTITION BY company_id, vendor_name ORDER BY conf DESC, tier, ord) AS seq FROM (
+  SELECT company_id, vendor_name, po_number, method, conf, tier, ord, remaining, row_number() OVER (PARTITION BY company_id, vendor_name ORDER BY conf DESC, tier, ord) AS seq FROM (
     SELECT *, row_number() OVER (PARTITION BY company_id, vendor_name, po_number ORDER BY tier, ord) AS pick FROM (
       SELECT h.*, bool_or(has_import AND import_derived) OVER (PARTITION BY h.company_id, vendor_name) AS hide FROM q_v_hits h JOIN q_flags f ON f.company_id = h.company_id)
     WHERE NOT hide OR import_derived) WHERE pick = 1"""
@@ -152,7 +152,7 @@ def j7(fx):
     return c.filter("method = 'exact'").select("document_id", "po_number", "method", "confidence")
 
 
-@query("j8_candidates_normalized_po", "SELECT document_id, po_number, method, confidence FROM q_c_normalized".replace("v_invoices", "v_invoices"))
+@query("j8_candidates_normalized_po", "SELECT document_id, po_number, method, confidence FROM q_c_normalized")
 def j8(fx):
     c = cand.by_number(fx.invoices, fx.pos, cand.tenant_flags(fx.pos, fx.source_records))
     return c.filter("method = 'normalized'").select("document_id", "po_number", "method", "confidence")
@@ -162,24 +162,30 @@ def j8(fx):
 def j9(fx):
     inv = fx.invoices
     r = cand.resolve_for(inv, fx.vendors, MATCH_TOKENS)
-    c = cand.by_vendor(inv, r, fx.pos, fx.vendors, fx.source_records, cand.tenant_flags(fx.pos, fx.source_records))
+    c = cand.by_vendor(inv, r, fx.pos, fx.vendors, fx.source_records, cand.tenant_flags(fx.pos, fx.source_records), MATCH.max_candidates)
     return c.select("document_id", "po_number", "method", "confidence")
 
 
-@query("j10_candidates_vendor_amount", f"""
-  WITH hits AS (SELECT document_id, total_cents, p.po_number, p.remaining, min(CASE WHEN p.vendor_id = r.vendor_id THEN 1 ELSE 2 END) AS tier,
-      CASE WHEN total_cents <= p.remaining THEN 0.85e0 ELSE greatest(0.3e0, 0.85e0 - (total_cents - p.remaining)::DOUBLE / p.remaining * 2) END AS confidence
-    FROM v_invoices i LEFT JOIN q_resolved r ON r.company_id = i.company_id AND r.vendor_name = i.vendor_name
-    JOIN (SELECT *, total_amount - previously_invoiced AS remaining, {sql_vendor_key('vendor_name')} AS pkey FROM v_pos WHERE status = 'open') p
-      ON p.company_id = i.company_id AND p.remaining > 0 AND total_cents <= p.remaining * 1.15e0 AND (p.vendor_id = r.vendor_id OR pkey = {sql_vendor_key('i.vendor_name')})
-    WHERE i.vendor_name <> '' AND NOT (coalesce(po_value, '') <> '' AND po_conf >= 0.85 AND po_status IN ('extracted', 'inferred')) GROUP BY ALL),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, tier, po_number) AS r FROM hits),
+@query("j9_vendor_order_lists", "SELECT company_id, vendor_name, po_number, method, conf AS confidence FROM q_v_lists")
+def j9_lists(fx):
+    r = cand.resolve_for(fx.invoices, fx.vendors, MATCH_TOKENS)
+    c = cand.vendor_lists(fx.invoices, r, fx.pos, fx.vendors, fx.source_records, cand.tenant_flags(fx.pos, fx.source_records))
+    return c.select("company_id", "vendor_name", "po_number", "method", F.col("conf").alias("confidence"))
+
+
+@query("j10_candidates_vendor_amount", """
+  WITH hits AS (SELECT document_id, total_cents, l.po_number, l.remaining, tier, ord,
+      CASE WHEN total_cents <= l.remaining THEN 0.85e0 ELSE greatest(0.3e0, 0.85e0 - (total_cents - l.remaining)::DOUBLE / l.remaining * 2) END AS confidence
+    FROM v_invoices i JOIN q_v_lists l ON l.company_id = i.company_id AND l.vendor_name = i.vendor_name AND l.remaining > 0 AND total_cents <= l.remaining * 1.15e0
+    WHERE i.vendor_name <> '' AND NOT (coalesce(po_value, '') <> '' AND po_conf >= 0.85 AND po_status IN ('extracted', 'inferred'))),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, tier, ord, po_number) AS r FROM hits),
   top AS (SELECT *, count(*) OVER (PARTITION BY document_id) AS n FROM ranked WHERE r <= 10)
   SELECT document_id, po_number, CASE WHEN n = 1 AND abs(total_cents - remaining) <= remaining * 0.02e0 THEN 'unique_vendor_amount' ELSE 'vendor_amount' END AS method,
     CASE WHEN n = 1 AND abs(total_cents - remaining) <= remaining * 0.02e0 THEN 0.95e0 ELSE confidence END AS confidence FROM top""")
 def j10(fx):
     r = cand.resolve_for(fx.invoices, fx.vendors, MATCH_TOKENS)
-    return cand.by_vendor_amount(fx.invoices, r, fx.pos).select("document_id", "po_number", "method", "confidence")
+    c = cand.by_vendor_amount(fx.invoices, r, fx.pos, fx.vendors, fx.source_records, cand.tenant_flags(fx.pos, fx.source_records))
+    return c.select("document_id", "po_number", "method", "confidence")
 
 
 @query("j11_candidates_fuzzy_po")
