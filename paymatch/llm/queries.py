@@ -19,6 +19,7 @@ from paymatch.llm import (
     warc_fixity,
 )
 from paymatch.llm.oracles import SQL as SQL  # the registry reads it here
+from paymatch.plans.runtime import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,6 +30,7 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
