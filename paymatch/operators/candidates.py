@@ -345,7 +345,7 @@ def by_vendor_amount(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendor
     # J14 looks at the whole list, whatever the balances
     every = claims(pos, vendors, flags).filter("import_derived").select("company_id", F.explode(F.array_compact(F.array(
         F.when(F.col("vid") != "", F.concat(F.lit("id:"), "vid")), F.concat(F.lit("nm:"), "own"), F.concat(F.lit("nm:"), "master")))).alias("vk")).distinct()
-    imported = keys.join(every, ["company_id", "vk"], "left_semi").union(keys.filter(F.startswith("vk", F.lit("rec")))).select(*on).distinct()
+    imported = keys.join(every, ["company_id", "vk"], "left_semi").select(*on).union(keys.filter(F.startswith("vk", F.lit("rec"))).select(*on)).distinct()
     hide = imported.join(flags.filter("has_import").select("company_id"), "company_id", "left_semi").withColumn("hide", F.lit(True))
     keys = keys.join(hide, on, "left").withColumn("imp", F.explode(F.when(F.col("hide"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False))))).drop("hide")
 

@@ -173,13 +173,13 @@ CTES["q_fold"] = """ /*recursive*/
 
 
 def requests(fx):
-    base = fx.invoices.filter("total_cents > 0").select("document_id", F.col("true_po").alias("po_number"), F.col("total_cents").alias("amount"), "arrival_ts")
-    second = base.selectExpr("concat(document_id, '-2') as document_id", "po_number", "amount div 2 + 7 as amount", "arrival_ts + interval 1 hour as arrival_ts")
-    third = base.selectExpr("concat(document_id, '-3') as document_id", "po_number", "amount div 3 + 1 as amount", "arrival_ts + interval 2 hour as arrival_ts")
+    base = fx.invoices.filter("total_cents > 0").select("company_id", "document_id", F.col("true_po").alias("po_number"), F.col("total_cents").alias("amount"), "arrival_ts")
+    second = base.selectExpr("company_id", "concat(document_id, '-2') as document_id", "po_number", "amount div 2 + 7 as amount", "arrival_ts + interval 1 hour as arrival_ts")
+    third = base.selectExpr("company_id", "concat(document_id, '-3') as document_id", "po_number", "amount div 3 + 1 as amount", "arrival_ts + interval 2 hour as arrival_ts")
     return base.unionByName(second).unionByName(third)
 
 
 @query("sequential_po_balance", "SELECT document_id, accepted, remaining FROM q_fold WHERE r > 0")
 def sequential_balance(fx):
-    balances = fx.pos.selectExpr("po_number", "total_amount - previously_invoiced as remaining")
+    balances = fx.pos.selectExpr("company_id", "po_number", "total_amount - previously_invoiced as remaining")
     return seq.consume_balances(requests(fx), balances).select("document_id", "accepted", "remaining")

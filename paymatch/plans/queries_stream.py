@@ -52,8 +52,8 @@ CTES["q_stream_fold"] = """ /*recursive*/
 
 @query("st3_stream_po_balance", "SELECT document_id, accepted, remaining FROM q_stream_fold WHERE r > 0")
 def st3(fx):
-    balances = fx.table("events").selectExpr("concat('U', user_id) as po_number").distinct().withColumn("remaining", F.lit(20000).cast("bigint"))
-    s = submissions(fx).filter("event_type = 'purchase'").select("po_number", "ts", "document_id", "amount")
+    balances = fx.table("events").selectExpr("'C1' as company_id", "concat('U', user_id) as po_number").distinct().withColumn("remaining", F.lit(20000).cast("bigint"))
+    s = submissions(fx).filter("event_type = 'purchase'").select(F.lit("C1").alias("company_id"), "po_number", "ts", "document_id", "amount")
     return st.po_balance(s, balances, st.work_dir(fx.spark, "st3")).select("document_id", "accepted", "remaining")
 
 

@@ -6,15 +6,21 @@ per micro-batch and overwrites it on replay, so a batch that runs twice leaves o
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from paymatch.operators.ledger import GENESIS, append_ledger
-from paymatch.operators.sequential import consume_balances
 from paymatch.plans.runtime import shared_dir
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/paymatch-stream/{name}-{uuid.uuid4().hex}"
@@ -35,11 +41,11 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def earlier(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
-    """What the batches before this one left behind."""
+def latest(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
+    """What the batch just before this one left behind."""
     if batch_id == 0:
         return spark.createDataFrame([], schema)
-    return spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={b}" for b in range(batch_id)]).drop("batch_id")
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id - 1}")
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -52,52 +58,64 @@ def dedupe_submissions(stream: DataFrame, key: str = "document_id", ts: str = "t
 
 
 def route_late(stream: DataFrame, root: str, ts: str = "ts", delay_seconds: int = 172800) -> DataFrame:
-    """Rows older than the watermark of the batches before them, kept for the batch re-run."""
+    """Rows older than the watermark of the batches before them, kept for the batch re-run.
+
+    Each batch leaves the largest time so far, one row, for the next.
+    """
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch.agg(F.max(ts).alias("m")), f"{root}/seen", batch_id)
-        mark = earlier(spark, f"{root}/seen", "m timestamp", batch_id).agg(F.max("m").alias("m")).scalar()
-        late = batch.filter(F.unix_timestamp(ts) < F.unix_timestamp(mark) - delay_seconds)
+        mark = latest(spark, f"{root}/seen", "m timestamp", batch_id)
+        write_batch(batch.agg(F.max(ts).cast("timestamp").alias("m")).union(mark).agg(F.max("m").alias("m")), f"{root}/seen", batch_id)
+        late = batch.filter(F.unix_timestamp(ts) < F.unix_timestamp(mark.scalar()) - delay_seconds)
         write_batch(late, f"{root}/late", batch_id)
 
     run_batches(stream, handle, root)
     return read_back(spark, f"{root}/late")
 
 
+def _mark_repeats(key, frames, state):
+    """Rows of one key in arrival order; whether the key was seen before is the state."""
+    pdf = pd.concat(list(frames)).sort_values(["ts", "document_id"])
+    repeat = np.ones(len(pdf), bool)
+    repeat[0] = state.exists
+    state.update((True,))
+    yield pd.DataFrame({"document_id": pdf["document_id"].to_numpy(), "duplicate": repeat})
+
+
 def duplicate_guard(stream: DataFrame, root: str, keys: list[str]) -> DataFrame:
     """ST2.  Marks a submission whose key was submitted before, in arrival order (`ts`, `document_id`).
 
-    Only the first arrival per key is kept and compared with, so a key that repeats forever costs one row.
+    The state store keeps one flag a key; a batch reads the state of its own keys only.
     """
-    spark = stream.sparkSession
-    first_type = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields if f.name in keys], "ts timestamp", "document_id string"])
+    marked = stream.select(*keys, "ts", "document_id").groupBy(*keys).applyInPandasWithState(
+        _mark_repeats, "document_id string, duplicate boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    run_batches(marked, lambda b, i: write_batch(b, f"{root}/out", i), root)
+    return read_back(stream.sparkSession, f"{root}/out").drop("batch_id")
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        here = batch.groupBy(*keys).agg(F.min(F.struct("ts", "document_id")).alias("f"))
-        before = earlier(spark, f"{root}/first", first_type, batch_id).select(*keys, F.lit(True).alias("known")).distinct()
-        marked = batch.join(here, keys).join(before, keys, "left")
-        repeat = F.coalesce("known", F.lit(False)) | (F.struct("ts", "document_id") > F.col("f"))
-        write_batch(marked.select("document_id", repeat.alias("duplicate")), f"{root}/out", batch_id)
-        write_batch(here.join(before, keys, "left_anti").select(*keys, "f.ts", "f.document_id"), f"{root}/first", batch_id)
 
-    run_batches(stream, handle, root)
-    return read_back(spark, f"{root}/out").drop("batch_id")
+def _consume(key, frames, state):
+    """Requests of one order in arrival order; the balance left is the state."""
+    pdf = pd.concat(list(frames)).sort_values(["ts", "document_id"])
+    left = state.get[0] if state.exists else int(pdf["start"].iloc[0])
+    accepted, rest = [], []
+    for amount in pdf["amount"].tolist():
+        accepted.append(amount <= left)
+        left -= amount if amount <= left else 0
+        rest.append(left)
+    state.update((left,))
+    yield pd.DataFrame({"company_id": key[0], "po_number": key[1], "document_id": pdf["document_id"].to_numpy(), "accepted": accepted, "remaining": rest})
 
 
 def po_balance(stream: DataFrame, balances: DataFrame, root: str) -> DataFrame:
-    """ST3.  Approve and consume in arrival order; the balance a batch starts from is what earlier ones left."""
-    spark = stream.sparkSession
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        used = earlier(spark, f"{root}/out", "po_number string, document_id string, accepted boolean, remaining bigint, amount bigint", batch_id)
-        used = used.filter("accepted").groupBy("po_number").agg(F.sum("amount").alias("used"))
-        start = balances.join(used, "po_number", "left").select("po_number", (F.col("remaining") - F.coalesce("used", F.lit(0))).alias("remaining"))
-        done = consume_balances(batch.select("po_number", F.col("ts").alias("arrival_ts"), "document_id", "amount"), start)
-        write_batch(done.join(batch.select("document_id", "amount"), "document_id").select("po_number", "document_id", "accepted", "remaining", "amount"), f"{root}/out", batch_id)
-
-    run_batches(stream, handle, root)
-    return read_back(spark, f"{root}/out").drop("batch_id")
+    """ST3.  Approve and consume in arrival order; the state store keeps each order's balance, per company."""
+    key = ["company_id", "po_number"]
+    start = balances.select(*key, F.col("remaining").cast("long").alias("start"))
+    done = stream.select(*key, "ts", "document_id", "amount").join(start, key).groupBy(*key).applyInPandasWithState(
+        _consume, "company_id string, po_number string, document_id string, accepted boolean, remaining bigint", "remaining bigint", "append",
+        GroupStateTimeout.NoTimeout)
+    run_batches(done, lambda b, i: write_batch(b, f"{root}/out", i), root)
+    return read_back(stream.sparkSession, f"{root}/out").drop("batch_id")
 
 
 def update_results(stream: DataFrame, root: str, keys: list[str]) -> DataFrame:
@@ -116,15 +134,16 @@ def sla_breaches(stream: DataFrame, hours, delay: str = "2 days") -> DataFrame:
 
 
 def ledger_appends(stream: DataFrame, root: str) -> DataFrame:
-    """ST5.  One ordered append per micro-batch, continuing the chain of the batches before."""
+    """ST5.  One ordered append per micro-batch; each batch leaves the end of the chain, one row, for the next."""
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        last = earlier(spark, f"{root}/out", "ledger_sequence bigint, content_hash string, previous_hash string, event_id string", batch_id).agg(
-            F.max(F.struct("ledger_sequence", "content_hash")).alias("l")).select("l.*").first()
-        seq, tail = (last[0] or 0, last[1] or GENESIS) if last else (0, GENESIS)
-        rows = append_ledger(batch.withColumnRenamed("ts", "created_at"), seq, tail)
+        tail = latest(spark, f"{root}/tail", "ledger_sequence bigint, content_hash string", batch_id)
+        last = tail.first()
+        rows = append_ledger(batch.withColumnRenamed("ts", "created_at"), *(last or (0, GENESIS)))
         write_batch(rows.select("ledger_sequence", "content_hash", "previous_hash", "event_id"), f"{root}/out", batch_id)
+        written = spark.read.parquet(f"{root}/out/batch_id={batch_id}").select("ledger_sequence", "content_hash")
+        write_batch(written.union(tail).agg(F.max(F.struct("ledger_sequence", "content_hash")).alias("l")).where("l is not null").select("l.*"), f"{root}/tail", batch_id)
 
     run_batches(stream, handle, root)
     return read_back(spark, f"{root}/out").drop("batch_id")

@@ -66,11 +66,11 @@ def test_round_and_shaving(spark):
 
 
 def test_fold_skips_what_does_not_fit(spark):
-    rows = [("P", datetime(2024, 1, i + 1), f"D{i}", a) for i, a in enumerate([4000, 3500, 3000, 2000])]
-    req = spark.createDataFrame(rows, "po_number string, arrival_ts timestamp, document_id string, amount bigint")
-    bal = spark.createDataFrame([("P", 10000)], "po_number string, remaining bigint")
+    rows = [(c, "P", datetime(2024, 1, i + 1), f"{c}{i}", a) for c in "DE" for i, a in enumerate([4000, 3500, 3000, 2000])]
+    req = spark.createDataFrame(rows, "company_id string, po_number string, arrival_ts timestamp, document_id string, amount bigint")
+    bal = spark.createDataFrame([("D", "P", 10000), ("E", "P", 12500)], "company_id string, po_number string, remaining bigint")
     out = {r.document_id: r.accepted for r in seq.consume_balances(req, bal).collect()}
-    assert out == {"D0": True, "D1": True, "D2": False, "D3": True}
+    assert out == {"D0": True, "D1": True, "D2": False, "D3": True, "E0": True, "E1": True, "E2": True, "E3": True}
 
 
 def test_ledger_roundtrip_and_breaches(spark):
