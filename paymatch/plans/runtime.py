@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict = {}
 _SHIPPED: set[str] = set()
+_STAGED: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -39,5 +40,21 @@ def stage(df: DataFrame) -> DataFrame:
     Later readers then see one fixed result even if executors are lost, and do not recompute it.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/paymatch-stage/{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged() -> list[str]:
+    """Folders that `stage` wrote and `forget` has not removed, oldest first."""
+    return list(_STAGED)
+
+
+def forget(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> None:
+    """Remove staged folders whose readers are done, but for those that `but` still reads."""
+    read = but.inputFiles() if but is not None else []
+    for path in paths:
+        if path in _STAGED and not any(path.rsplit("/", 1)[-1] in file for file in read):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _STAGED.remove(path)
