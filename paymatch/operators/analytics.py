@@ -103,6 +103,13 @@ def page(df: DataFrame, order: list, limit: int, offset: int = 0, status: str |
     return x.orderBy(*order).offset(offset).limit(limit)
 
 
+def list_imports(records: DataFrame, limit: int = 20) -> DataFrame:
+    """Q7.  The newest imports: each company's records of one day are one import."""
+    imports = records.groupBy("company_id", F.to_date("created_at").alias("imported_on")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("po_reference").alias("with_order"), F.sum("invoice_total").alias("total_cents"))
+    return page(imports, [F.col("imported_on").desc(), "company_id"], limit)
+
+
 def extraction_feedback(corrections: DataFrame, inv: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Q8.  Old and new value per corrected field.  `fields` maps the field name to the invoice column."""
     old = inv.select("document_id", "vendor_name", *[F.col(c).cast("string").alias(f) for f, c in fields.items()])

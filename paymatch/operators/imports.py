@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paymatch import import_policy as ip
@@ -48,13 +49,21 @@ def flat_entity(record_type) -> Column:
     return lookup(header_key(record_type), {t: e for e, types in ip.FLAT_TYPES.items() for t in types}, None)
 
 
-def profile_rows(rows: DataFrame) -> DataFrame:
-    """I2.  Row count, non-empty columns and up to three samples per entity of a flat file (`raw` map, `row_id`)."""
+def profile_rows(rows: DataFrame, header: list[str] | None = None) -> DataFrame:
+    """I2.  Row count, columns and the first three rows per entity of a flat file (`raw` map, `row_id`).
+
+    The columns are the file's header where it is given, as a column may be empty, else those that hold anything.
+    """
     x = rows.withColumn("entity", F.coalesce(flat_entity(F.col("raw")["record_type"]), F.lit("unknown")))
+    counts = x.groupBy("entity").agg(F.count(F.lit(1)).alias("row_count"), F.min("row_id").alias("first_row"))
+    leading = x.withColumn("_r", F.row_number().over(W.partitionBy("entity").orderBy("row_id"))).filter("_r <= 3")
+    samples = leading.groupBy("entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_id", F.map_entries("raw").alias("raw")))),
+                                                        lambda r: F.map_from_entries(r["raw"])).alias("sample_rows"))
+    if header is not None:
+        return counts.withColumn("columns", F.lit(",".join(sorted(header)))).join(samples, "entity")
     used = x.select("entity", F.explode(F.map_keys(F.map_filter("raw", lambda k, v: v.isNotNull()))).alias("c")).groupBy("entity").agg(
         F.array_join(F.array_sort(F.collect_set("c")), ",").alias("columns"))
-    counts = x.groupBy("entity").agg(F.count(F.lit(1)).alias("row_count"), F.min("row_id").alias("first_row"))
-    return counts.join(used, "entity")
+    return counts.join(used, "entity").join(samples, "entity")
 
 
 def propose_mappings(catalog: DataFrame, saved: DataFrame | None = None) -> DataFrame:

@@ -209,6 +209,12 @@ def q7_records(fx):
     return an.page(fx.source_records, [F.col("created_at").desc(), "source_record_id"], 25, 5).select("source_record_id", F.coalesce("invoice_number", F.lit("")).alias("invoice_number"))
 
 
+@query("q7_list_imports", """SELECT company_id, created_at::DATE::VARCHAR AS imported_on, count(*) AS rows, count(po_reference) AS with_order, sum(invoice_total)::BIGINT AS total_cents
+  FROM v_source_records GROUP BY 1, created_at::DATE ORDER BY created_at::DATE DESC, company_id LIMIT 20""")
+def q7_imports(fx):
+    return an.list_imports(fx.source_records).withColumn("imported_on", F.col("imported_on").cast("string"))
+
+
 @query("q8_extraction_feedback", """SELECT c.document_id, coalesce(trim(vendor_name), '') AS vendor_id, c.field_name, '' AS original_value, new_value AS corrected_value, actor_id FROM v_corrections c
   JOIN v_invoices i ON i.document_id = c.document_id WHERE field_name IN ('invoice_number', 'total_amount')""")
 def q8(fx):

@@ -124,11 +124,14 @@ def i1(fx):
     return im.infer_entity(catalog(fx))
 
 
-@query("i2_profile_tables", """SELECT entity, count(DISTINCT row_id) AS row_count, string_agg(DISTINCT c, ',' ORDER BY c) AS columns FROM (
-  SELECT row_id, CASE record_type WHEN 'vendor' THEN 'vendor' WHEN 'purchase_order' THEN 'po' WHEN 'invoice' THEN 'invoice_transaction' ELSE 'unknown' END AS entity, unnest([""" + ", ".join(
-      f"CASE WHEN {c} IS NOT NULL THEN '{c}' END" for c in _COLS) + "]) AS c FROM v_import_rows) WHERE c IS NOT NULL GROUP BY 1")
+@query("i2_profile_tables", """SELECT entity, count(*) AS row_count, '""" + ",".join(sorted(_COLS)) + """' AS columns, string_agg(line, ';' ORDER BY row_id) FILTER (r <= 3) AS samples FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity ORDER BY row_id) AS r FROM (
+    SELECT row_id, CASE record_type WHEN 'vendor' THEN 'vendor' WHEN 'purchase_order' THEN 'po' WHEN 'invoice' THEN 'invoice_transaction' ELSE 'unknown' END AS entity,
+      concat_ws('|', """ + ", ".join(f"'{c}=' || {c}" for c in sorted(_COLS)) + """) AS line FROM v_import_rows)) GROUP BY entity""")
 def i2(fx):
-    return im.profile_rows(raw_rows(fx)).select("entity", "row_count", "columns")
+    entries = lambda r: F.transform(F.array_sort(F.map_entries(r)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    samples = F.array_join(F.transform("sample_rows", lambda r: F.concat_ws("|", entries(r))), ";")
+    return im.profile_rows(raw_rows(fx), _COLS).select("entity", "row_count", "columns", samples.alias("samples"))
 
 
 CTES["q_cat_entity"] = "SELECT source_id, position, column_name, CASE WHEN sheet = 'polines' THEN 'line' WHEN sheet = 'vendors' THEN 'vendor' ELSE 'po' END AS entity FROM q_catalog"
