@@ -14,22 +14,32 @@ from paymatch.llm.words import gram_hashes, mix, signed, space_words, winnow
 from paymatch.plans.runtime import stage
 
 _CHUNK = 1 << 20
-_ROW = "hash bigint, th bigint, start int, starts array<int>"
+_MET = "bucket int, th binary, start binary"
+_ROW = f"hashes binary, {_MET}"
+_NAMES = ["hashes", "bucket", "th", "start"]
 
 
-def _lists(th: np.ndarray, start: np.ndarray):
-    """(th, starts) with one list for each value of th."""
-    order = np.argsort(th, kind="stable")
-    th, start = th[order], start[order]
-    first = np.flatnonzero(np.append(True, th[1:] != th[:-1])) if len(th) else np.empty(0, int)
-    return pa.array(th[first], pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(first, len(th)), pa.int32()), pa.array(start, pa.int32()))
+def _cut(key: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket of a 64-bit key, and (bucket, from, to) of those that occur."""
+    bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    values, first = np.unique(bucket[order], return_index=True)
+    return order, list(zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(key)]))
+
+
+def _places(th: np.ndarray, start: np.ndarray, buckets: int, known: bool):
+    """Places as one row for each bucket of texts; a place that is known to recur has a negative bucket."""
+    order, cuts = _cut(th.view(np.uint64), buckets)
+    th, start = th[order], start[order].astype(np.int32)
+    columns = [pa.array([-1 - c if known else c for c, _, _ in cuts], pa.int32()), *(pa.array([x[i:j].tobytes() for _, i, j in cuts], pa.binary()) for x in (th, start))]
+    return pa.RecordBatch.from_arrays(([pa.nulls(len(cuts), pa.binary())] if known else []) + columns, names=_NAMES[0 if known else 1:])
 
 
 class _Chunk:
     """Hashes of some texts.  A hash that occurs twice here is settled here for all its places; every hash leaves once."""
 
-    def __init__(self):
-        self.seen, self.parts, self.count = set(), [], 0
+    def __init__(self, buckets: int):
+        self.buckets, self.seen, self.parts, self.count = buckets, set(), [], 0
 
     def add(self, th: int, starts: np.ndarray, hashes: np.ndarray) -> None:
         self.seen.add(th)
@@ -38,25 +48,26 @@ class _Chunk:
             self.count += len(starts)
 
     def flush(self):
-        names = ["hash", "th", "start", "starts"]
         hashes, th, start = (np.concatenate(c) for c in zip(*self.parts))
-        self.__init__()
+        self.__init__(self.buckets)
         order = np.argsort(hashes, kind="stable")
         hashes, th, start = hashes[order], th[order], start[order]
         same = hashes[1:] == hashes[:-1]
         head, many = np.append(True, ~same), np.append(same, False) | np.append(False, same)
         out = np.where(many, -1 - start, start)[head]  # a negative start: settled for this text, and known to recur
-        yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[head])), pa.array(th[head]), pa.array(out, pa.int32()),
-                                          pa.nulls(int(head.sum()), pa.list_(pa.int32()))], names=names)
+        columns = hashes[head], th[head], out.astype(np.int32)
+        order, cuts = _cut(columns[0], self.buckets)
+        columns = [x[order] for x in columns]
+        blobs = [pa.array([x[i:j].tobytes() for _, i, j in cuts], pa.binary()) for x in columns]
+        yield pa.RecordBatch.from_arrays([blobs[0], pa.array([c for c, _, _ in cuts], pa.int32()), *blobs[1:]], names=_NAMES)
         if many.any():
-            known, lists = _lists(th[many], start[many])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(known), pa.int64()), known, pa.nulls(len(known), pa.int32()), lists], names=names)
+            yield _places(th[many], start[many], self.buckets, known=True)
 
 
-def _hashed(places):
+def _hashed(places, buckets: int):
     """Rows of `places(text, extra column) -> (starts, hashes)`, chunk by chunk; a text occurs once in a chunk."""
     def run(frames):
-        chunk = _Chunk()
+        chunk = _Chunk(buckets)
         for frame in frames:
             extra = frame.column(2) if frame.num_columns > 2 else [None] * frame.num_rows
             for th, text, more in zip(frame.column(0).to_pylist(), frame.column(1), extra):
@@ -70,34 +81,64 @@ def _hashed(places):
     return run
 
 
-def _meet(frames):
-    """(th, starts) of the places whose hash occurs at two places; all rows of a hash are in one partition."""
-    names, parts = ["th", "starts"], []
-    for frame in frames:
-        lists = frame.filter(pa.compute.is_null(frame.column(0)))
-        if lists.num_rows:
-            yield pa.RecordBatch.from_arrays([lists.column(1), lists.column(3)], names=names)
-        rows = frame.filter(pa.compute.is_valid(frame.column(0)))
-        if rows.num_rows:
-            parts.append([rows.column(i).to_numpy() for i in range(3)])
+def _blobs(column, kind):
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column])
+
+
+def _meet(buckets: int):
+    """The places whose hash occurs at two places; all rows of a bucket of hashes are in one partition."""
+    def run(frames):
+        parts = []
+        for frame in frames:
+            known = pa.compute.is_null(frame.column(0))
+            rows = frame.filter(known)
+            if rows.num_rows:
+                back = pa.compute.subtract(pa.scalar(-1, pa.int32()), rows.column(1))
+                yield pa.RecordBatch.from_arrays([back, rows.column(2), rows.column(3)], names=_NAMES[1:])
+            rows = frame.filter(pa.compute.invert(known))
+            if rows.num_rows:
+                parts.append((_blobs(rows.column(0), np.uint64), _blobs(rows.column(2), np.int64), _blobs(rows.column(3), np.int32)))
+        if not parts:
+            return
+        hashes, th, start = (np.concatenate(c) for c in zip(*parts))
+        place = th.view(np.uint64) ^ mix(np.where(start < 0, -1 - start, start).astype(np.uint64))
+        order = np.lexsort((place, hashes))
+        hashes, th, start, place = hashes[order], th[order], start[order], place[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        last = np.append(first[1:], len(hashes)) - 1
+        again = (place[first] != place[last]) | (np.minimum.reduceat(start, first) < 0)
+        keep = np.repeat(again, last - first + 1) & (start >= 0)
+        if keep.any():
+            yield _places(th[keep], start[keep], buckets, known=False)
+    return run
+
+
+def _gather(frames):
+    """(th, starts), one row a text; all rows of a bucket of texts are in one partition."""
+    parts = [(_blobs(f.column(1), np.int64), _blobs(f.column(2), np.int32)) for f in frames if f.num_rows]
     if not parts:
         return
-    hashes, th, start = (np.concatenate(c) for c in zip(*parts))
-    place = th.view(np.uint64) ^ mix(np.where(start < 0, -1 - start, start).astype(np.uint64))
-    order = np.lexsort((place, hashes))
-    hashes, th, start, place = hashes[order], th[order], start[order], place[order]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    last = np.append(first[1:], len(hashes)) - 1
-    again = (place[first] != place[last]) | (np.minimum.reduceat(start, first) < 0)
-    keep = np.repeat(again, last - first + 1) & (start >= 0)
-    yield pa.RecordBatch.from_arrays([*_lists(th[keep], start[keep])], names=names)
+    th, start = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(th, kind="stable")
+    th, start = th[order], start[order]
+    first = np.flatnonzero(np.append(True, th[1:] != th[:-1]))
+    for at in range(0, len(first), 10_000):
+        some = first[at:at + 10_001]
+        ends = some[1:] if len(some) > 10_000 else np.append(some[1:], len(th))
+        some = some[:10_000]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(some, ends[-1]) - some[0], pa.int32()), pa.array(start[some[0]:ends[-1]], pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(th[some]), lists], names=["th", "starts"])
 
 
 def recurring(texts: DataFrame, places) -> DataFrame:
-    """Staged rows (th, starts): the places of each text whose hash also occurs at another place, anywhere."""
-    rows = texts.mapInArrow(_hashed(places), _ROW).withColumn("route", F.coalesce("hash", "th"))
-    met = rows.repartition("route").select("hash", "th", "start", "starts").mapInArrow(_meet, "th bigint, starts array<int>")
-    return stage(met.groupBy("th").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    """Staged rows (th, starts): the places of each text whose hash also occurs at another place, anywhere.
+
+    Hashes and places travel as packed arrays, one row for each task and bucket, which costs far less than a row each.
+    """
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.mapInArrow(_hashed(places, 2 * buckets), _ROW)
+    met = rows.repartition("bucket").mapInArrow(_meet(2 * buckets), _MET)
+    return stage(met.repartition("bucket").mapInArrow(_gather, "th bigint, starts array<int>"))
 
 
 def _anchors(window: int, gram: int):
