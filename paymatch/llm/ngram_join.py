@@ -33,8 +33,8 @@ def _digest(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Bit map of a set with about as many bits as it has members, at least 512; the low bits of a hash are its place."""
-    bits = max(512, 1 << (len(s) - 1).bit_length())
+    """Bit map of a set with four to eight bits for each member, at least 512; the low bits of a hash are its place."""
+    bits = max(512, 4 << (len(s) - 1).bit_length())
     at = s & np.uint64(bits - 1)
     flags = np.zeros(bits, np.uint8)
     flags[at.astype(np.int64)] = 1
@@ -332,37 +332,39 @@ def block_pairs(n, comp, sigs, rule: Rule, left=None):
 
 
 def _block_links(rule: Rule):
-    """Possible links of each block; rows come sorted by block (token, part, other part)."""
-    def close(rows):
-        cls = np.array([r[0] for r in rows], np.int64)
-        n, comp = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    """Possible links of each block; rows come sorted by block (leader, part, other part).
+
+    A pair that several blocks hold is given by the one whose leader is smallest.
+    """
+    def close(leader, rows):
+        cls, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
         left = None if rows[0][4] else np.array([r[5] for r in rows], bool)
         i, j = block_pairs(n, comp, [np.frombuffer(r[3], np.uint64) for r in rows], rule, left)
+        led = [set(r[6]) for r in rows]
+        first = np.fromiter((min(led[x] & led[y]) == leader for x, y in zip(i, j)), bool, len(i))
+        i, j = i[first], j[first]
         return np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
 
     def run(frames):
-        block, rows, found, seen = None, [], [], set()
+        block, rows, found = None, [], []
 
         def flush():
-            pairs = [p for p in {(int(a), int(b)) for x in found for a, b in zip(*x)} if p not in seen]
+            ends = [np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), ()))]
             found.clear()
-            if len(seen) > _CHUNK:
-                seen.clear()
-            seen.update(pairs)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
 
         for frame in frames:
-            columns = [frame.column(c).to_pylist() for c in ("token", "part", "other", "cls", "n", "comp", "sig", "side")]
-            for token, part, other, cls, n, comp, sig, side in zip(*columns):
-                if (token, part, other) != block:
+            columns = [frame.column(c).to_pylist() for c in ("block", "part", "other", "cls", "n", "comp", "sig", "side", "leaders")]
+            for leader, part, other, cls, n, comp, sig, side, leaders in zip(*columns):
+                if (leader, part, other) != block:
                     if len(rows) > 1:
-                        found.append(close(rows))
+                        found.append(close(block[0], rows))
                     if len(found) > 2000:
                         yield flush()
-                    block, rows = (token, part, other), []
-                rows.append((cls, n, comp, sig, part == other, side))
+                    block, rows = (leader, part, other), []
+                rows.append((cls, n, comp, sig, part == other, side, leaders))
         if len(rows) > 1:
-            found.append(close(rows))
+            found.append(close(block[0], rows))
         yield flush()
     return run
 
@@ -425,21 +427,29 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFr
         side = lambda x: found.select(F.col("cls").alias(x), F.col("members").alias(f"set_{x}"))
         return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(rule), "a bigint, b bigint"))
 
-    leaders = stage(shared.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("token", "a"))
-    stars = shared.join(leaders, "token").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    links = verified(possible(stars))
+    # The leader of a block: the set with the fewest leading members of its own, as the original of edited copies is.
+    leading_members = F.col("n") - F.ceil(F.col("n").cast("long") * num / den) + 1
+    alone = stage(shared.groupBy("cls").agg((F.min(leading_members) - F.count("*")).cast("long").alias("alone")))
+    ranked = stage(shared.join(alone, "cls").select("token", "cls", F.struct("alone", "cls").alias("rank")))
+    leaders = stage(ranked.groupBy("token").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first <> last")
+                    .select("token", F.col("first.cls").alias("a")))
+    # All blocks of one leader are one block: (a, b) for each set b that shares a leading member of a block led by a.
+    blocks = stage(ranked.join(leaders, "token").select("a", F.col("cls").alias("b")).distinct())
+    links = verified(possible(blocks.where("a <> b")))
     labels = components(links)
 
-    named = stage(shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", F.coalesce("label", "cls").alias("comp")))
-    spans = (named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
-             .where("lo <> hi").select("token", F.ceil(F.col("rows") / PART).cast("int").alias("parts")))
-    open_ = named.join(stage(spans), "token").join(classes.select("cls", "n", "sig"), "cls")
+    named = stage(blocks.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("cls"), F.coalesce("label", "b").alias("comp")))
+    parts = stage(named.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
+                  .where("lo <> hi").select("a", F.ceil(F.col("rows") / PART).cast("int").alias("parts")))
+    open_ = stage(named.join(parts, "a"))
+    led = open_.groupBy("cls").agg(F.collect_set("a").alias("leaders"))
+    open_ = open_.join(led, "cls").join(classes.select("cls", "n", "sig"), "cls")
     mine = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("cls"), F.col("parts"))).otherwise(0).cast("int")
     open_ = (open_.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .withColumns({"part": F.least("mine", "theirs"), "other": F.greatest("mine", "theirs"), "side": F.col("mine") < F.col("theirs")})
-             .select("token", "part", "other", "cls", "n", "comp", "sig", "side"))
-    pairs = (open_.repartition("token", "part", "other").sortWithinPartitions("token", "part", "other")
-             .mapInArrow(_block_links(rule), "a bigint, b bigint").distinct())
+             .withColumns({"block": F.col("a"), "part": F.least("mine", "theirs"), "other": F.greatest("mine", "theirs"), "side": F.col("mine") < F.col("theirs")})
+             .select("block", "part", "other", "cls", "n", "comp", "sig", "side", "leaders"))
+    pairs = (open_.repartition("block", "part", "other").sortWithinPartitions("block", "part", "other")
+             .mapInArrow(_block_links(rule), "a bigint, b bigint"))
     links = links.union(verified(stage(pairs)))
     return first.where("hot is null").select("doc_id", "cls", "n"), classes.select("cls", "rep", "n"), links
 
@@ -471,8 +481,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     ignored.  Sets are told apart by 64-bit digests of 64-bit shingle hashes.
 
     Each set stands in the join with the few shingles of which every set it links to must share one, uncommon shingles first;
-    copies stand once.  In each block of sets that share such a shingle, first all are compared with one leader; then what
-    is not yet in one component is put in a tree whose nodes hold OR- and AND-combined bit maps, size ranges and components,
+    copies stand once.  Sets that share such a shingle form a block with a leader, the one with the fewest shingles that no other
+    set has, and all blocks of one leader are one.  First all sets of a block are compared with its leader; then what is
+    not yet in one component is put in a tree whose nodes hold OR- and AND-combined bit maps, size ranges and components,
     and pairs of nodes that cannot reach the overlap are pruned.  Blocks over `PART` rows are cut, and the parts are
     compared two by two, so no task holds an unbounded block.
     """
