@@ -219,6 +219,23 @@ def test_html_extraction(spark, pages):
     assert html.unescape("&eacute;") == "é"
 
 
+def test_html_template_decides(spark):
+    """Slots come from the host's pages: no article element or telling class, two layouts, a constant notice, broken pages, implied ends."""
+    def page(i, layout, end="</div>"):
+        body = f"<h1>Title {i}</h1><div class=k0>Read our terms</div><p>first {'abc ' * (i + 3)}<p>second {i * 7}{'' if i % 2 else '<ul><li class=ad>buy</ul>'}"
+        if layout == 0:
+            return f"<html><body><div class=k1><b>Site</b></div><div class=k2 id=n{i}>{body}{end}<div class=k3>by {i % 5} <article>Top story {i}</article></div></body></html>"
+        return f"<table class=k4><tr><td>Old site<td class=k5>{body}<tr><td>x{i % 3}</table>"
+
+    rows = [(i, "http://one.example.com/", page(i, 0)) for i in range(30)]
+    rows += [(30, "http://one.example.com/", page(30, 0, ""))]  # its slot is not closed
+    rows += [(i, "http://one.example.com/", page(i, 1)) for i in range(40, 60)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in [*range(30), *range(40, 60)]:
+        assert got[i].split("\n") == [f"Title {i}", f"first {'abc ' * (i + 3)}".strip(), f"second {i * 7}"]
+    assert got[30].startswith("Title 30\nfirst abc") and "terms" not in got[30]
+
+
 def test_warc_fixity(spark, pages):
     assert warc_fixity.audit(pages, pages).count() == 0 and warc_fixity.audit(pages.limit(0), pages.limit(0)).count() == 0
     changed = pages.where("page_id is null or page_id <> 3").withColumn("html", warc_fixity.F.expr("case when page_id = 5 then concat(html, 'x') else html end"))
