@@ -17,6 +17,7 @@ from paymatch.plans.runtime import stage
 
 LEAF, FAN = 32, 8  # rows in a leaf of a tree, children of a node
 PART = 4096  # rows of a block in one task at most, against as many others
+MEMBERS = 1 << 22  # members of sets in one part of a block, about, where the sets themselves are compared
 _CHUNK = 1 << 20  # shingles looked at together when common ones are sought
 _HOT = 1 << 20  # common shingles told apart at most
 _COMMON = 16  # documents that make a shingle common at least
@@ -369,6 +370,96 @@ def _block_links(rule: Rule):
     return run
 
 
+def _in_blocks(frames, names):
+    """(block, rows) of Arrow rows sorted by (block, part, other), with the columns `names` of each row."""
+    block, rows = None, []
+    for frame in frames:
+        for key, row in zip(zip(*(frame.column(c).to_pylist() for c in ("block", "part", "other"))), zip(*(frame.column(c).to_pylist() for c in names))):
+            if key != block:
+                if len(rows) > 1:
+                    yield block, rows
+                block, rows = key, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield block, rows
+
+
+def _own_pairs(block, cls, n, sigs, side, leaders, rule: Rule):
+    """Possible links of a block of different sets, without those that a block with a smaller leader has too."""
+    left = None if block[1] == block[2] else np.array(side, bool)
+    i, j = block_pairs(np.array(n, np.int64), np.array(cls, np.int64), sigs, rule, left)
+    led = [set(x) for x in leaders]
+    own = np.fromiter((min(led[x] & led[y]) == block[0] for x, y in zip(i, j)), bool, len(i))
+    return i[own], j[own]
+
+
+_INVOLVED = "block bigint, part int, other int, cls bigint, side boolean, leaders array<bigint>"
+
+
+def _involved(rule: Rule):
+    """The rows of each block that bit maps leave a link possible for."""
+    def run(frames):
+        for block, rows in _in_blocks(frames, ("cls", "n", "sig", "side", "leaders")):
+            cls, n, sigs, side, leaders = zip(*rows)
+            ends = np.unique(np.concatenate(_own_pairs(block, cls, n, [np.frombuffer(x, np.uint64) for x in sigs], side, leaders, rule)))
+            if len(ends):
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([block[k]] * len(ends), t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))), pa.array([cls[x] for x in ends], pa.int64()),
+                     pa.array([side[x] for x in ends], pa.bool_()), pa.array([leaders[x] for x in ends], pa.list_(pa.int64()))],
+                    names=["block", "part", "other", "cls", "side", "leaders"])
+    return run
+
+
+def shared_members(i, j, sets):
+    """How many members the sets of each pair (i, j) share; i comes in order."""
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    rows = [ids[e - k:e] for e, k in zip(ends, sizes)]
+    mark, out = np.zeros(len(ids), bool), np.empty(len(i), np.int64)
+    cuts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+    for start, stop in zip(cuts, [*cuts[1:], len(i)]):
+        mark[rows[i[start]]] = True
+        for at in range(start, stop, LEAF * FAN):
+            others = j[at:min(at + LEAF * FAN, stop)]
+            out[at:at + len(others)] = np.add.reduceat(mark[np.concatenate([rows[x] for x in others])].astype(np.int64), np.append(0, np.cumsum(sizes[others])[:-1]))
+        mark[rows[i[start]]] = False
+    return out
+
+
+def _all_links(rule: Rule):
+    """All links of each block, and whether a link joins what the links before it in the block left apart."""
+    def run(frames):
+        for block, rows in _in_blocks(frames, ("cls", "members", "side", "leaders")):
+            cls, members, side, leaders = zip(*rows)
+            sets = [np.frombuffer(x, np.uint64) for x in members]
+            n = np.array([len(x) for x in sets])
+            i, j = _own_pairs(block, cls, n, [signature(x) for x in sets], side, leaders, rule)
+            if not len(i):
+                continue
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            linked = rule.reached(shared_members(i, j, sets), n[i] + n[j])
+            i, j = i[linked], j[linked]
+            root = list(range(len(cls)))
+
+            def top(x):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            joins = np.zeros(len(i), bool)
+            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+                x, y = top(x), top(y)
+                joins[k] = x != y
+                root[x] = y
+            cls = np.array(cls, np.int64)
+            for at in range(0, len(i), 1 << 16):
+                x, y = cls[i[at:at + (1 << 16)]], cls[j[at:at + (1 << 16)]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(joins[at:at + (1 << 16)])], names=["a", "b", "joins"])
+    return run
+
+
 def _bounded(rule: Rule):
     """Pairs whose bit maps leave a link possible."""
     def run(frames):
@@ -394,9 +485,12 @@ def _verified(rule: Rule):
     return run
 
 
-def link_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, links): rows (doc_id, cls, n) of all documents, (cls, rep, n) of all distinct non-empty sets,
-    and links (a, b) between classes that, with equal sets, connect the same documents as all links do."""
+    and links (a, b) between classes that, with equal sets, connect the same documents as all links do.
+
+    With `every_link` these are all links, each once as (a, b, joins); those that have `joins` connect the same as all.
+    """
     spark, rule = docs.sparkSession, Rule(num, den)
     send = spark.sparkContext.broadcast
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash"))
@@ -419,11 +513,13 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFr
         side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(rule), "a bigint, b bigint"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    def sets_of(ends: DataFrame) -> DataFrame:
         ids = stage(classes.join(ends, "cls").select("cls", F.xxhash64("rep").alias("id_hash")))
-        found = stage(docs.mapInArrow(_sets(size, send(sketches.bitmap(ids, "id_hash")), send(sketches.bitmap(ids, "cls"))), "cls bigint, members binary")
-                      .dropDuplicates(["cls"]))
+        return stage(docs.mapInArrow(_sets(size, send(sketches.bitmap(ids, "id_hash")), send(sketches.bitmap(ids, "cls"))), "cls bigint, members binary")
+                     .dropDuplicates(["cls"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
         side = lambda x: found.select(F.col("cls").alias(x), F.col("members").alias(f"set_{x}"))
         return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(rule), "a bigint, b bigint"))
 
@@ -435,21 +531,38 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFr
                     .select("token", F.col("first.cls").alias("a")))
     # All blocks of one leader are one block: (a, b) for each set b that shares a leading member of a block led by a.
     blocks = stage(ranked.join(leaders, "token").select("a", F.col("cls").alias("b")).distinct())
+
+    def dealt(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """The rows (a, cls, …) of the blocks in `parts` (a, parts), each once for every part it is compared with."""
+        rows = stage(rows.join(parts, "a"))
+        led = rows.groupBy("cls").agg(F.collect_set("a").alias("leaders"))
+        mine = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("cls"), F.col("parts"))).otherwise(0).cast("int")
+        return (rows.join(led, "cls").join(classes.select("cls", "n", "sig"), "cls").withColumn("mine", mine)
+                .withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                .withColumns({"block": F.col("a"), "part": F.least("mine", "theirs"), "other": F.greatest("mine", "theirs"), "side": F.col("mine") < F.col("theirs")}))
+
+    def by_block(rows: DataFrame) -> DataFrame:
+        return rows.repartition("block", "part", "other").sortWithinPartitions("block", "part", "other")
+
+    if every_link:
+        rows = blocks.select("a", F.col("b").alias("cls"))
+        held = F.greatest(F.count("*") / PART, F.sum(F.col("n").cast("long")) / MEMBERS)
+        parts = (rows.join(classes.select("cls", "n"), "cls").groupBy("a").agg(F.count("*").alias("rows"), F.ceil(held).cast("int").alias("parts"))
+                 .where("rows > 1").select("a", "parts"))
+        rows = by_block(dealt(rows, parts).select("block", "part", "other", "cls", "n", "sig", "side", "leaders"))
+        rows = stage(rows.mapInArrow(_involved(rule), _INVOLVED))
+        found = sets_of(rows.select("cls").distinct())
+        links = stage(by_block(rows.join(found, "cls")).mapInArrow(_all_links(rule), "a bigint, b bigint, joins boolean"))
+        return first.where("hot is null").select("doc_id", "cls", "n"), classes.select("cls", "rep", "n"), links
+
     links = verified(possible(blocks.where("a <> b")))
     labels = components(links)
 
     named = stage(blocks.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("cls"), F.coalesce("label", "b").alias("comp")))
     parts = stage(named.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
                   .where("lo <> hi").select("a", F.ceil(F.col("rows") / PART).cast("int").alias("parts")))
-    open_ = stage(named.join(parts, "a"))
-    led = open_.groupBy("cls").agg(F.collect_set("a").alias("leaders"))
-    open_ = open_.join(led, "cls").join(classes.select("cls", "n", "sig"), "cls")
-    mine = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("cls"), F.col("parts"))).otherwise(0).cast("int")
-    open_ = (open_.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .withColumns({"block": F.col("a"), "part": F.least("mine", "theirs"), "other": F.greatest("mine", "theirs"), "side": F.col("mine") < F.col("theirs")})
-             .select("block", "part", "other", "cls", "n", "comp", "sig", "side", "leaders"))
-    pairs = (open_.repartition("block", "part", "other").sortWithinPartitions("block", "part", "other")
-             .mapInArrow(_block_links(rule), "a bigint, b bigint"))
+    open_ = dealt(named, parts).select("block", "part", "other", "cls", "n", "comp", "sig", "side", "leaders")
+    pairs = by_block(open_).mapInArrow(_block_links(rule), "a bigint, b bigint")
     links = links.union(verified(stage(pairs)))
     return first.where("hot is null").select("doc_id", "cls", "n"), classes.select("cls", "rep", "n"), links
 
@@ -468,13 +581,13 @@ def sketches_of_dry(sets: DataFrame, sent_hot, rule: Rule) -> DataFrame:
     return sets.select(F.xxhash64("doc_id").alias("id_hash"), "n", "head").mapInArrow(run, "id_hash bigint")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, every_link: bool = True) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, class_id, n_copies, n_links), one for each row of `docs` (doc_id, text).
 
     Two documents link when den * |A & B| >= num * |A | B| over the sets of their distinct word shingles of `size` words (A-Z as
     a-z; a text with fewer words is one shingle).  component_id is the smallest doc_id reachable over links, itself included;
-    class_id the smallest doc_id with an equal set, n_copies how many rows have it, n_links the verified links of the class
-    to other classes (those that connect the component; a class already connected is not compared again).
+    class_id the smallest doc_id with an equal set, n_copies how many rows have it, n_links how many other classes the class
+    links to.  Without `every_link` the column n_links is left out, and a class already connected is not compared again.
 
     Documents without words (null text included) link with nothing: component_id and class_id are their own doc_id.  Repeated
     rows are copies of one another; null doc_ids lose against any other; an empty table gives no rows; other columns are
@@ -482,13 +595,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     Each set stands in the join with the few shingles of which every set it links to must share one, uncommon shingles first;
     copies stand once.  Sets that share such a shingle form a block with a leader, the one with the fewest shingles that no other
-    set has, and all blocks of one leader are one.  First all sets of a block are compared with its leader; then what is
-    not yet in one component is put in a tree whose nodes hold OR- and AND-combined bit maps, size ranges and components,
-    and pairs of nodes that cannot reach the overlap are pruned.  Blocks over `PART` rows are cut, and the parts are
+    set has, and all blocks of one leader are one.  The sets of a block are put in a tree whose nodes hold OR- and AND-combined
+    bit maps and size ranges, and pairs of nodes that cannot reach the overlap are pruned; the sets of the rest come to the
+    block and are compared there.  For the components alone, all sets of a block are compared with its leader first, and only what
+    is not yet in one component by the tree.  Blocks over `PART` rows (or `MEMBERS` members) are cut, and the parts are
     compared two by two, so no task holds an unbounded block.
     """
-    rows, classes, links = link_classes(docs, size, num, den)
-    labels = components(links)
+    rows, classes, links = link_classes(docs, size, num, den, every_link)
+    labels = components(links.where("joins") if every_link else links)
     counted = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     named = stage(classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(counted.withColumnRenamed("a", "cls"), "cls", "left")
                   .select("cls", "rep", F.coalesce("label", "cls").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
@@ -498,7 +612,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     return rows.join(known, "cls", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every_link else []))
 
 
 def keep_representatives(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -506,7 +620,7 @@ def keep_representatives(docs: DataFrame, size: int = 5, num: int = 80, den: int
 
     Documents without words stay.  Rows that share the smallest doc_id but not the text stay each if their texts differ.
     """
-    found = jaccard_components(docs, size, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    found = jaccard_components(docs, size, num, den, every_link=False).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept

@@ -88,6 +88,17 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ l USING (doc_id) LEFT JOIN copies c USING (doc_id)
 """
 
+#: As OP7, with the number of other sets that the document's set links to.
+OP7_LINKS = f"""
+WITH x AS MATERIALIZED ({OP7}),
+w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS x FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, count(DISTINCT y.class_id) AS k FROM pairs JOIN x ON x.doc_id = a JOIN x y ON y.doc_id = b
+           WHERE x.class_id <> y.class_id AND 100 * o >= 85 * (x.n_shingles + y.n_shingles - o) GROUP BY a)
+SELECT x.*, coalesce(k, 0)::BIGINT AS n_links FROM x LEFT JOIN linked ON a = x.doc_id
+"""
+
 OP9 = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 win AS MATERIALIZED (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
@@ -100,4 +111,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed, c
 FROM d LEFT JOIN counts USING (rid) LEFT JOIN kept USING (rid)
 """
 
-SQL = {"op2_secret_scans": OP2, "op3_benchmark_decontamination": OP3, "op5_warc_fixity": OP5, "op7_ngram_jaccard_join": OP7, "op9_substring_dedup": OP9}
+SQL = {"op2_secret_scans": OP2, "op3_benchmark_decontamination": OP3, "op5_warc_fixity": OP5, "op7_ngram_jaccard_join": OP7, "op7_ngram_jaccard_links": OP7_LINKS,
+       "op9_substring_dedup": OP9}

@@ -67,7 +67,12 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100).drop("n_links")
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100, every_link=False)
+
+
+@_query
+def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
 @_query

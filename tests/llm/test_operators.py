@@ -327,6 +327,27 @@ def test_ngram_join_common_shingles(spark, monkeypatch):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+@pytest.mark.parametrize("part", [4096, 16])
+def test_ngram_join_counts_all_links(spark, monkeypatch, part):
+    """Every class of a large group of near copies is told all its links, not those alone that connect the group."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(90):
+        words = [f"w{i}" for i in range(80)]
+        for at in rng.sample(range(80), rng.choice([0, 1, 2, 4])):
+            words[at] = f"e{rng.randrange(30)}"
+        texts.append(" ".join(words))
+    df = table(spark, texts + texts[:5] + ["two words", ""])
+    sets = {i: ngram_join.shingles(t, 4).tolist() for i, t in texts_of(df).items()}
+    classes = {tuple(x): set(x) for x in sets.values() if x}
+    want = {k: sum(100 * len(v & w) >= 80 * len(v | w) for m, w in classes.items() if m != k) for k, v in classes.items()}
+    assert sum(want.values()) > 4 * len(want)
+    monkeypatch.setattr(ngram_join, "PART", part)
+    for r in ngram_join.jaccard_components(df, 4, 80, 100).collect():
+        assert r.n_links == want.get(tuple(sets[r.doc_id]), 0)
+    assert "n_links" not in ngram_join.jaccard_components(df, 4, 80, 100, every_link=False).columns
+
+
 def test_ngram_join_odd_tables(spark, docs):
     empty, some = odd(spark, docs)
     assert ngram_join.jaccard_components(empty).count() == 0
