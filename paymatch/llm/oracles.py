@@ -111,5 +111,52 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed, c
 FROM d LEFT JOIN counts USING (rid) LEFT JOIN kept USING (rid)
 """
 
+#: crc32 of a text's bytes, step by step over a table made by the rule of the polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i))"
+_BYTES = "list_transform(range(1, length(hex(encode(x))), 2), lambda i: 16 * (instr('0123456789ABCDEF', hex(encode(x))[i]) - 1) + instr('0123456789ABCDEF', hex(encode(x))[i + 1]) - 1)"
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_ALNUM}') AS w FROM documents),
+b AS MATERIALIZED (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_ALNUM}') AS w FROM benchmark),
+f AS MATERIALIZED (SELECT rid, array_to_string(w[i:i + n - 1], ' ') AS x, count(*) AS c FROM d, (VALUES (1), (2), (3)) AS o(n), unnest(range(1, len(w) - n + 2)) AS u(i) GROUP BY ALL),
+g AS MATERIALIZED (SELECT array_to_string(w[i:i + n - 1], ' ') AS x, count(*) AS c FROM b, (VALUES (1), (2), (3)) AS o(n), unnest(range(1, len(w) - n + 2)) AS u(i) GROUP BY ALL),
+tab AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+bucket AS MATERIALIZED (SELECT x, xor(4294967295, list_reduce({_BYTES}, lambda c, y: xor(tab[xor(c, y) % 256 + 1], c >> 8), 4294967295)) % 10000 AS bucket
+    FROM (SELECT DISTINCT x FROM (SELECT x FROM f UNION ALL SELECT x FROM g)), tab),
+s AS (SELECT bucket, sum(c) AS s FROM f JOIN bucket USING (x) GROUP BY bucket),
+t AS (SELECT bucket, sum(c) AS t FROM g JOIN bucket USING (x) GROUP BY bucket),
+gain AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS gain
+    FROM (SELECT range AS bucket FROM range(10000)) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weight AS (SELECT rid, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM f JOIN bucket USING (x) JOIN gain USING (bucket) GROUP BY rid),
+scored AS (SELECT rid, doc_id, len(w) >= 20 AS may, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weight USING (rid)),
+ranked AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE may),
+drawn AS (SELECT * FROM ranked WHERE rank <= (SELECT count(*) * 5 // 100 FROM scored WHERE may))
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, rank::BIGINT AS rank FROM scored LEFT JOIN drawn USING (rid)
+"""
+
+OP12 = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS x FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 80 * (na.n + nb.n - o)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least_ AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+k AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+x AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+y AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM x)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM y
+"""
+
 SQL = {"op2_secret_scans": OP2, "op3_benchmark_decontamination": OP3, "op5_warc_fixity": OP5, "op7_ngram_jaccard_join": OP7, "op7_ngram_jaccard_links": OP7_LINKS,
-       "op9_substring_dedup": OP9}
+       "op9_substring_dedup": OP9, "op11_importance_resampling": OP11, "op12_minhash_dedup": OP12, "op13_fill_in_middle": OP13}

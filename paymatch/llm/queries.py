@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paymatch.llm import (
     decontamination,
+    fill_in_middle,
     fingerprints,
     html_extract,
+    importance,
+    minhash_dedup,
     ngram_join,
     packing,
     quality,
@@ -88,3 +91,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+@_query
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, num=80, den=100)
+
+
+@_query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
