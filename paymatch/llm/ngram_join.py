@@ -621,7 +621,8 @@ def keep_representatives(docs: DataFrame, size: int = 5, num: int = 80, den: int
     Documents without words stay.  Rows that share the smallest doc_id but not the text stay each if their texts differ.
     """
     found = jaccard_components(docs, size, num, den, every_link=False).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    free = next(name for k in range(len(docs.columns) + 1) if (name := f"kept{k}") not in map(str.lower, docs.columns))
+    kept = docs.join(found.withColumnRenamed("doc_id", free), F.col("doc_id").eqNullSafe(F.col(free)), "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])

@@ -17,20 +17,20 @@ def _kind(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
 
 
 OP2 = f"""
-WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents),
 base AS MATERIALIZED ({_kind(0, 'assign', _ASSIGN, 2, 6)} UNION ALL {_kind(1, 'access', 'AKIA[A-Z0-9]+', 0, 20)} UNION ALL {_kind(2, 'hex', '[0-9a-f]+', 0, 24)}),
 tokens AS ({_kind(3, 'owned', '[A-Za-z0-9+/_=-]+', 0, 20)}),
 more AS MATERIALIZED (SELECT * FROM tokens m WHERE regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = m.rid AND b.s < m.s + m.n AND m.s < b.s + b.n)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-held AS (SELECT val, count(DISTINCT owner) AS owners FROM every JOIN d USING (rid) GROUP BY val),
-spans AS (SELECT e.*, owners, kind || ':' || s || ':' || (s + n) AS span FROM every e JOIN held USING (val)),
+held AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM every JOIN d USING (rid) GROUP BY val),
+spans AS (SELECT e.*, owners, repos, owners >= 3 OR repos >= 6 AS copied, kind || ':' || s || ':' || (s + n) AS span FROM every e JOIN held USING (val)),
 found AS (SELECT rid, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS k, count(*) FILTER (rank = 2) AS x,
     coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3), '') AS base,
-    coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3 OR owners = 1), '') AS spans,
-    count(*) FILTER (owners = 1) AS live, count(*) FILTER (owners >= 3 AND rank < 3) AS example FROM spans GROUP BY rid)
+    coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3 OR owners = 1 AND NOT copied), '') AS spans,
+    count(*) FILTER (owners = 1 AND NOT copied) AS live, count(*) FILTER (copied AND rank < 3) AS example, max(repos) FILTER (rank < 3 OR owners = 1 AND NOT copied) AS repos FROM spans GROUP BY rid)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example
+       coalesce(spans, '') AS spans, coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example, coalesce(repos, 0) AS n_repos
 FROM d LEFT JOIN found USING (rid)
 """
 

@@ -27,10 +27,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """`docs` with statistics of the text alone, as doubles without nulls; their names."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """Rows `doc`, a struct of the columns of `docs` whatever their names, with statistics of the text alone, as doubles without nulls; the names of these."""
+    t = F.col("_text")
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    df = docs.withColumns({"_words": F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""), "_lines": F.filter(F.split(t, "\n"), lambda x: x != "")})
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    df = df.withColumns({"_words": F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""), "_lines": F.filter(F.split(t, "\n"), lambda x: x != "")})
     words, lines = F.size("_words"), F.size("_lines")
     over = lambda a, b: a / F.greatest(b, F.lit(1))
     stats = {
@@ -42,7 +43,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, lis
         "short_words": over(F.size(F.filter("_words", lambda w: F.length(w) <= 3)), words),
         "marked_words": over(count(MARKED), words),
     }
-    return df.withColumns({PREFIX + k: v.cast("double") for k, v in stats.items()}).drop("_words", "_lines"), [PREFIX + k for k in stats]
+    return df.withColumns({PREFIX + k: v.cast("double") for k, v in stats.items()}).drop("_text", "_words", "_lines"), [PREFIX + k for k in stats]
 
 
 _STEP = re.compile(r"^( *)(If|Else) \(feature (\d+) (<=|>) (\S+)\)")
@@ -83,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, trees: in
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(known.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
     rows, names = with_statistics(rows)
-    rows = stage(rows.select(F.col("_label").cast("double").alias("_label"), *names))
+    rows = stage(rows.select(F.col("doc._label").cast("double").alias("_label"), *names))
     shares = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
     if len(shares) < 2:
         share = next(iter(shares), 0.5)
@@ -106,10 +107,10 @@ def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     get a row each; labels without a document, and several for one (the larger holds), do no harm; an empty table gives no rows.
     """
     scored = with_statistics(docs.select("doc_id", "text"))[0].withColumn("score", fit(docs, labels, **settings).score())
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` whose predicted quality is 1, all columns kept."""
     scored = with_statistics(docs)[0].where(fit(docs, labels, **settings).score() >= 0.5)
-    return scored.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return scored.select(*(F.col(f"doc.`{c}`") for c in docs.columns))
