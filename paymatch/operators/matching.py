@@ -30,6 +30,8 @@ class Masters:
 
 CANDIDATE_FIELDS = ("po_number", "cand_vendor_id", "vendor_name", "score", "s_po", "s_vendor", "s_line", "s_amount", "s_date",
                     "coverage", "over", "remaining", "flags", "status", "po_type", "currency", "method", "maps")
+#: What a person who has to choose an order is shown of each suggested one.
+SUGGESTION_FIELDS = ("po_number", "vendor_name", "score", "s_po", "s_vendor", "s_line", "s_amount", "s_date", "remaining", "status", "po_type")
 
 
 def scored_pairs(inv: DataFrame, invoice_lines: DataFrame, m: Masters, as_of: str, policy: MatchPolicy = MATCH,
@@ -150,7 +152,10 @@ def final_match_state(x: DataFrame, grn: DataFrame, required=CHECKS.grn_required
 
 def match_package(inv: DataFrame, scored: DataFrame, n_lines: DataFrame, m: Masters, resolved: DataFrame,
                   policy: MatchPolicy = MATCH) -> DataFrame:
-    """M8.  One row per invoice.  `inv` may carry `can_match`; without it every invoice may be matched."""
+    """M8.  One row per invoice.  `inv` may carry `can_match` (the evidence gate, C9); without it every invoice may be matched.
+
+    `suggested_pos` holds the best-scored candidates, at most `policy.suggestions`, whatever was selected.
+    """
     head = inv.withColumns({
         "presence": po_presence(), "gate": confidence_gate(),
         "suggestion": suggestion_mode() | (po_presence() == "non_po"),
@@ -189,6 +194,7 @@ def match_package(inv: DataFrame, scored: DataFrame, n_lines: DataFrame, m: Mast
         "company_id", "document_id", status.alias("match_status"),
         F.coalesce("selected", F.array().cast(x.schema["selected"].dataType)).alias("matched_pos"),
         F.coalesce("cands", F.array().cast(x.schema["cands"].dataType)).alias("candidates"),
+        F.coalesce(F.transform(F.slice("cands", 1, policy.suggestions), lambda c: F.struct(*[c[f].alias(f) for f in SUGGESTION_FIELDS])), F.array()).alias("suggested_pos"),
         F.coalesce("n_cands", F.lit(0)).cast("bigint").alias("candidate_count"), "unmatched_lines",
         F.when(none & F.col("may_match"), F.array(F.lit("po_not_found"))).when(none, F.array().cast("array<string>")).otherwise(F.col("flags")).alias("flags"),
         provenance.alias("provenance"), "suggestion", "presence", F.col("gate").alias("confidence_action"),

@@ -132,15 +132,15 @@ CTES["v_invoices"] = f"""
     CASE WHEN k % 37 = 0 THEN NULL WHEN k % 41 = 0 THEN 'A1' ELSE 'INV-' || lpad(k::VARCHAR, 7, '0') END AS invoice_number,
     CASE WHEN k % 37 = 0 THEN 0e0 ELSE 0.95e0 END AS number_conf,
     CASE WHEN k % 37 = 0 THEN 'not_found' WHEN k % 43 = 0 THEN 'uncertain' ELSE 'extracted' END AS number_status,
-    CASE WHEN k % 71 = 0 THEN NULL WHEN k % 11 = 3 THEN replace(replace(master_name, 'or', 'r'), 'al', 'a1')
+    CASE WHEN k % 71 = 0 OR k % 83 = 0 THEN NULL WHEN k % 11 = 3 THEN replace(replace(master_name, 'or', 'r'), 'al', 'a1')
          WHEN k % 11 = 5 THEN upper(replace(master_name, ',', ''))
          WHEN k % 11 = 7 AND s % 6 = 0 THEN {_W2} || ' ' || {_W1} || ' ' || s ELSE master_name END AS vendor_name,
-    CASE WHEN k % 71 = 0 THEN 0e0 WHEN k % 7 = 3 THEN 0.8e0 ELSE 0.95e0 END AS vendor_conf,
-    CASE WHEN k % 71 = 0 THEN 'not_found' WHEN k % 61 = 0 THEN 'uncertain' ELSE 'extracted' END AS vendor_status,
-    CASE scn WHEN 1 THEN replace(po_number, '-', CASE WHEN k % 2 = 0 THEN '' ELSE '.' END) WHEN 2 THEN NULL WHEN 3 THEN 'N/A'
-         WHEN 4 THEN substring(po_number, 1, 9) || 'X' ELSE po_number END AS po_value,
-    CASE WHEN scn IN (2, 3) THEN 0e0 WHEN scn = 4 THEN 0.6e0 ELSE 0.95e0 END AS po_conf,
-    CASE WHEN scn = 2 THEN 'not_found' ELSE 'extracted' END AS po_status,
+    CASE WHEN k % 71 = 0 OR k % 83 = 0 THEN 0e0 WHEN k % 7 = 3 THEN 0.8e0 ELSE 0.95e0 END AS vendor_conf,
+    CASE WHEN k % 71 = 0 OR k % 83 = 0 THEN 'not_found' WHEN k % 61 = 0 THEN 'uncertain' ELSE 'extracted' END AS vendor_status,
+    CASE WHEN k % 83 = 0 THEN NULL WHEN scn = 1 THEN replace(po_number, '-', CASE WHEN k % 2 = 0 THEN '' ELSE '.' END) WHEN scn = 2 THEN NULL WHEN scn = 3 THEN 'N/A'
+         WHEN scn = 4 THEN substring(po_number, 1, 9) || 'X' ELSE po_number END AS po_value,
+    CASE WHEN scn IN (2, 3) OR k % 83 = 0 THEN 0e0 WHEN scn = 4 THEN 0.6e0 ELSE 0.95e0 END AS po_conf,
+    CASE WHEN scn = 2 OR k % 83 = 0 THEN 'not_found' ELSE 'extracted' END AS po_status,
     CASE WHEN k % 53 = 0 THEN NULL ELSE issue_date + (k % 200)::INTEGER END AS invoice_date,
     CASE WHEN k % 53 = 0 THEN 0e0 ELSE 0.88e0 END AS date_conf,
     CASE WHEN k % 53 = 0 THEN 'not_found' ELSE 'extracted' END AS date_status,
@@ -150,17 +150,17 @@ CTES["v_invoices"] = f"""
     subtotal0 - CASE WHEN k % 16 = 0 THEN 1500 ELSE 0 END AS subtotal_cents, 0.95e0 AS subtotal_conf,
     CASE WHEN k % 73 = 0 THEN 0 ELSE total0 - subtotal0
          - CASE WHEN k % 29 = 0 THEN 6000 WHEN k % 31 = 0 THEN 700 ELSE 0 END END AS tax_cents, 0.95e0 AS tax_conf,
-    CASE WHEN k % 67 = 0 THEN NULL ELSE total0 END AS total_cents,
-    CASE WHEN k % 67 = 0 THEN 0e0 WHEN k % 19 = 0 THEN 0.8e0 WHEN k % 5 = 2 THEN 0.92e0 ELSE 0.97e0 END AS total_conf,
-    CASE WHEN k % 67 = 0 THEN 'not_found' ELSE 'extracted' END AS total_status,
-    CASE WHEN k % 13 = 0 THEN 'ORD-' || k END AS ref_value,
+    CASE WHEN k % 67 = 0 OR k % 83 = 0 THEN NULL ELSE total0 END AS total_cents,
+    CASE WHEN k % 67 = 0 OR k % 83 = 0 THEN 0e0 WHEN k % 19 = 0 THEN 0.8e0 WHEN k % 5 = 2 THEN 0.92e0 ELSE 0.97e0 END AS total_conf,
+    CASE WHEN k % 67 = 0 OR k % 83 = 0 THEN 'not_found' ELSE 'extracted' END AS total_status,
+    CASE WHEN k % 13 = 0 AND k % 83 <> 0 THEN 'ORD-' || k END AS ref_value,
     make_timestamp((1709251200 + (k * 7919) % 100003) * 1000000) AS arrival_ts, k, scn, po_number AS true_po
   FROM (SELECT *, CASE WHEN scn = 8 THEN (total0 * 10 + 6) // 12 ELSE (total0 * 100 + 54) // 108 END AS subtotal0
         FROM (SELECT *, CASE scn WHEN 0 THEN remaining WHEN 5 THEN remaining * 101 // 100 WHEN 6 THEN remaining * 104 // 100
                              WHEN 7 THEN remaining * 120 // 100 WHEN 9 THEN 500000 WHEN 11 THEN 990000
                              ELSE remaining // 2 END AS total0
               FROM (SELECT *, (k // 3) % 12 AS scn, total_amount - previously_invoiced AS remaining
-                    FROM v_pos WHERE k % 10 < 8)))"""
+                    FROM v_pos)))"""
 
 CTES["v_invoice_lines"] = """
   SELECT company_id, document_id, CASE WHEN scn % 3 = 1 THEN line_number - line_number // 4 ELSE line_number END AS line_no,
@@ -169,7 +169,7 @@ CTES["v_invoice_lines"] = """
          quantity, CASE WHEN scn = 6 THEN unit_price * 105 // 100 ELSE unit_price END AS unit_price,
          quantity * (CASE WHEN scn = 6 THEN unit_price * 105 // 100 ELSE unit_price END)
            + CASE WHEN l.k % 23 = 0 AND line_number = 1 THEN 100 ELSE 0 END AS amount
-  FROM v_po_lines l JOIN v_invoices i ON i.true_po = l.po_number WHERE NOT (scn % 3 = 1 AND line_number % 4 = 0)"""
+  FROM v_po_lines l JOIN v_invoices i ON i.true_po = l.po_number WHERE NOT (scn % 3 = 1 AND line_number % 4 = 0) AND l.k % 83 <> 0"""
 
 CTES["v_charges"] = """
   SELECT document_id, 'Shipping & Handling' AS label, 1500::BIGINT AS amount FROM v_invoices WHERE k % 8 = 0
@@ -192,9 +192,9 @@ CTES["v_allocations"] = """
 
 CTES["v_source_records"] = """
   SELECT company_id, 'SR' || lpad(k::VARCHAR, 7, '0') AS source_record_id, vendor_name, invoice_number, invoice_date,
-         total_cents AS invoice_total, currency, CASE WHEN k % 14 = 0 THEN NULL ELSE true_po END AS po_reference,
+         total_cents AS invoice_total, currency, CASE WHEN k % 14 = 0 THEN NULL WHEN k % 7 = 3 THEN 'EXT-' || k ELSE true_po END AS po_reference,
          make_timestamp((1704067200 + (k * 31) % 9973) * 1000000) AS created_at, k
-  FROM v_invoices WHERE k % 7 = 0 AND company_id = 'C2'"""
+  FROM v_invoices WHERE company_id = 'C2'"""
 
 CTES["v_runs"] = """
   SELECT company_id, document_id, arrival_ts,
@@ -245,7 +245,7 @@ _IMPORT = ("record_type", "supplier_name", "supplier_code", "tax_id", "po_no", "
 
 def _shape(kind: str, rid: str, source: str, **exprs) -> str:
     cols = ", ".join(f"({exprs.get(c, 'NULL')})::VARCHAR AS {c}" for c in _IMPORT)
-    return f"SELECT '{kind}' || lpad(({rid})::VARCHAR, 10, '0') AS row_id, {cols} FROM {source}"
+    return f"SELECT company_id, '{kind}' || lpad(({rid})::VARCHAR, 10, '0') AS row_id, {cols} FROM {source}"
 
 
 CTES["v_import_rows"] = "\n UNION ALL ".join((
@@ -255,12 +255,12 @@ CTES["v_import_rows"] = "\n UNION ALL ".join((
            po_no="CASE WHEN k % 11 = 0 THEN 'N/A' WHEN k % 23 = 0 THEN po_number || ' ' "
                  "WHEN k % 46 = 1 THEN 'PO-0000001' ELSE po_number END",
            po_total="CASE WHEN k % 97 = 0 THEN 'abc' ELSE total_amount::VARCHAR END", po_status="status"),
-    _shape("C", "k * 100 + line_number", "v_po_lines",
+    _shape("C", "l.k * 100 + line_number", "v_po_lines l JOIN (SELECT po_number AS pn, company_id FROM v_pos) ON pn = l.po_number",
            po_no="CASE WHEN k % 30 = 0 THEN 'PO-MISSING' ELSE po_number END",
            line_no="CASE WHEN k % 33 = 0 THEN 0 ELSE line_number END", qty="quantity", price="unit_price"),
-    _shape("D", "k", "v_invoices WHERE k % 7 = 0", record_type="CASE WHEN k % 2 = 0 THEN 'invoice' END",
+    _shape("D", "k", "v_invoices", record_type="CASE WHEN k % 2 = 0 THEN 'invoice' END",
            supplier_name="CASE WHEN k % 49 = 0 THEN NULL ELSE vendor_name END", po_no="po_value",
            inv_number="invoice_number", inv_total="total_cents", inv_date="invoice_date"),
-    _shape("E", "k * 100 + line_number", "v_po_lines WHERE k % 5 <> 0 AND (k + line_number) % 3 <> 0",
+    _shape("E", "l.k * 100 + line_number", "v_po_lines l JOIN (SELECT po_number AS pn, company_id FROM v_pos) ON pn = l.po_number WHERE l.k % 5 <> 0 AND (l.k + line_number) % 3 <> 0",
            grn="'GRN-' || k", po_no="CASE WHEN k % 21 = 0 THEN NULL ELSE po_number END"),
 ))

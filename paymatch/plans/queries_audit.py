@@ -58,7 +58,7 @@ def e1_summary(fx):
 
 @query("e1_narrative_shape", """SELECT d.document_id, (5 + len(CASE step WHEN 'contract' THEN ['x'] WHEN 'hard' THEN reasons WHEN 'override' THEN list_filter([CASE WHEN first_payment AND amount > 1000000 THEN 'a' END, CASE WHEN g_shaved > 0 THEN 'b' END], lambda x: x IS NOT NULL)
      WHEN 'state' THEN reasons ELSE [] END) + len(string_split(r.rules, ',')) + CASE WHEN step IN ('state', 'authority') THEN 1 ELSE 0 END + CASE WHEN step = 'authority' AND NOT d.auto THEN 1 ELSE 0 END
-     + CASE WHEN target IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN mode <> 'none' THEN 1 ELSE 0 END)::BIGINT AS n_entries
+     + CASE WHEN target IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN mode IN ('full', 'limited') THEN 1 ELSE 0 END)::BIGINT AS n_entries
   FROM q_decision d JOIN (SELECT document_id, rules FROM q_rules) r ON r.document_id = d.document_id""")
 def e1_shape(fx):
     return narrated(fx).select("document_id", F.size("narrative").cast("bigint").alias("n_entries"))

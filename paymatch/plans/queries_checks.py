@@ -2,21 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from paymatch.operators import candidates as cand
+from paymatch.operators import chain
 from paymatch.operators import checks as ck
-from paymatch.operators import lines as ln
-from paymatch.operators import vendors as ven
 from paymatch.plans.oracle_base import CTES
+from paymatch.plans.queries_extraction import recon
 from paymatch.plans.queries_match import masters, packages, prepared
 from paymatch.plans.registry import query
-from paymatch.policy import CHECK_ORDER, LIMITED_CHECKS, MATCH_TOKENS
+from paymatch.policy import CHECK_ORDER, LIMITED_CHECKS
 
 CTES["v_vendor_changes"] = "SELECT company_id, vendor_id, CASE WHEN s % 19 = 0 THEN 'unverified' ELSE 'verified' END AS bank_change FROM v_vendors WHERE s % 19 = 0 OR s % 23 = 0"
 CTES["v_paid_vendors"] = """SELECT DISTINCT p.company_id, p.vendor_id FROM v_allocations a JOIN v_pos p ON p.po_number = a.po_number WHERE p.s % 3 <> 1"""
 CTES["q_findings"] = """
   SELECT m.document_id, m.po_number, bool_or(p.p > 0 AND abs(i.p - p.p) / p.p > 0.02e0) AS price_fail, bool_or(p.q > 0 AND abs(i.q - p.q) / p.q > 0.05e0) AS qty_flag
-  FROM q_maps m JOIN q_c_exact e ON e.document_id = m.document_id AND e.po_number = m.po_number AND e.seq = 1
-  JOIN q_il i ON i.document_id = m.document_id AND i.il = m.il JOIN q_pl p ON p.po_number = m.po_number AND p.pl = m.po_line GROUP BY ALL"""
+  FROM q_maps m JOIN q_match s ON s.document_id = m.document_id AND s.selected[1] = m.po_number
+  LEFT JOIN q_split_lines o ON o.document_id = m.document_id AND o.il = m.il AND o.po_number = m.po_number
+  JOIN q_il i ON i.document_id = m.document_id AND i.il = m.il JOIN q_pl p ON p.po_number = m.po_number AND p.pl = m.po_line
+  WHERE m.match_type <> 'unmatched' AND (NOT s.multi OR o.il IS NOT NULL) GROUP BY ALL"""
 CTES["q_dup"] = """
   SELECT x.document_id, count(*) FILTER (p.n = x.n AND p.a = x.a) AS n_exact, count(*) FILTER (p.n = x.n AND NOT coalesce(p.a = x.a, false)) AS n_number,
     count(*) FILTER (NOT coalesce(p.n = x.n, false) AND p.a = x.a AND abs(datediff('day', p.d, x.d)) <= 3) AS n_near
@@ -26,45 +27,34 @@ CTES["q_dup"] = """
 CTES["q_blocking"] = """
   SELECT *, CASE WHEN decision IN ('REJECT', 'TERMINAL_REJECT') OR stage3_status = 'BLOCKED' THEN false WHEN decision IN ('APPROVE', 'AUTO_APPROVED', 'APPROVAL_REQUIRED') THEN true
     ELSE document_id IN (SELECT document_id FROM v_allocations) END AS blocking FROM v_prior_runs"""
-CTES["q_ctx"] = """
-  SELECT i.*, e.po_number, p.po_number IS NOT NULL AS has_po, p.vendor_id AS po_vendor_id, p.total_amount AS po_total, p.previously_invoiced AS po_prior, p.total_amount - p.previously_invoiced AS po_remaining,
-    p.po_type, v.vendor_id IS NOT NULL AS has_vendor, v.status AS vendor_state, r.vendor_id AS resolved_vendor_id, g.n AS n_grn, coalesce(g.received, 0) AS received_cents, c.bank_change,
-    CASE WHEN p.po_number IS NULL THEN CASE WHEN i.scn = 4 THEN 'waiting_for_po' ELSE 'non_po_workflow' END WHEN i.k % 15 = 0 THEN 'ambiguous_match' ELSE 'high_confidence_match' END AS match_status,
-    CASE WHEN p.po_number IS NOT NULL THEN 'full' WHEN i.scn = 4 THEN 'none' ELSE 'limited' END AS mode,
-    CASE WHEN i.k % 29 = 0 THEN 'residual_review' ELSE 'reconciled' END AS reconciliation, coalesce(f.price_fail, false) AS price_fail, coalesce(f.qty_flag, false) AS qty_flag,
-    coalesce(d.n_exact, 0) AS n_exact, coalesce(d.n_number, 0) AS n_number, coalesce(d.n_near, 0) AS n_near, p.vendor_id IS NOT NULL AND pv.vendor_id IS NULL AS is_new_vendor,
+_MODE = """CASE WHEN suggestion AND match_status IN ('waiting_for_po', 'suggested_po_match', 'unmatched', 'multiple_candidates') AND len(selected) = 0 THEN 'none'
+    WHEN match_status IN ('matched', 'high_confidence_match', 'partial_match', 'ambiguous_match', 'waiting_for_grn', 'closed_po_review') THEN
+      CASE WHEN suggestion AND provenance NOT IN ('evidence', 'authoritative_po', 'human_confirmed') THEN 'none' WHEN match_status = 'ambiguous_match' AND provenance <> 'human_confirmed' THEN 'none' ELSE 'full' END
+    WHEN match_status = 'non_po_workflow' THEN 'limited' WHEN match_status IN ('waiting_for_po', 'suggested_po_match', 'unmatched', 'multiple_candidates') THEN 'none' ELSE 'invalid' END"""
+CTES["q_ctx"] = f"""
+  SELECT i.*, m.selected[1] AS po_number, p.po_number IS NOT NULL AS has_po, p.vendor_id AS po_vendor_id, p.total_amount AS po_total, p.previously_invoiced AS po_prior, p.total_amount - p.previously_invoiced AS po_remaining,
+    p.po_type, v.vendor_id IS NOT NULL AS has_vendor, v.status AS vendor_state, CASE WHEN len(m.selected) > 0 THEN nullif(m.vendor_id, '') END AS resolved_vendor_id, t.cand_vendor_id AS match_vendor_id,
+    g.n AS n_grn, coalesce(g.received, 0) AS received_cents, c.bank_change, m.match_status, m.mode, e.reconciliation, coalesce(f.price_fail, false) AS price_fail, coalesce(f.qty_flag, false) AS qty_flag,
+    coalesce(d.n_exact, 0) AS n_exact, coalesce(d.n_number, 0) AS n_number, coalesce(d.n_near, 0) AS n_near, nullif(t.cand_vendor_id, '') IS NOT NULL AND pv.vendor_id IS NULL AS is_new_vendor,
     CASE WHEN p.import_derived THEN CASE WHEN subtotal_cents > 0 THEN tax_cents::DOUBLE / subtotal_cents ELSE 0.08e0 END ELSE 0.08e0 END AS tax_rate, p.import_derived AS po_import
-  FROM v_invoices i LEFT JOIN q_c_exact e ON e.document_id = i.document_id AND e.seq = 1 LEFT JOIN v_pos p ON p.company_id = i.company_id AND p.po_number = e.po_number
-  LEFT JOIN v_vendors v ON v.company_id = p.company_id AND v.vendor_id = p.vendor_id LEFT JOIN q_resolved r ON r.company_id = i.company_id AND r.vendor_name = i.vendor_name
-  LEFT JOIN (SELECT company_id, po_number, sum(received_amount)::BIGINT AS received, count(*) AS n FROM v_grn GROUP BY ALL) g ON g.company_id = i.company_id AND g.po_number = p.po_number
-  LEFT JOIN v_vendor_changes c ON c.company_id = v.company_id AND c.vendor_id = v.vendor_id LEFT JOIN q_findings f ON f.document_id = i.document_id
-  LEFT JOIN q_dup d ON d.document_id = i.document_id LEFT JOIN v_paid_vendors pv ON pv.company_id = p.company_id AND pv.vendor_id = p.vendor_id"""
+  FROM v_invoices i JOIN (SELECT *, {_MODE} AS mode FROM q_match) m ON m.document_id = i.document_id LEFT JOIN v_pos p ON p.company_id = i.company_id AND p.po_number = m.selected[1]
+  LEFT JOIN q_scored t ON t.document_id = m.document_id AND t.po_number = m.selected[1] LEFT JOIN v_vendors v ON v.company_id = i.company_id AND v.vendor_id = t.cand_vendor_id
+  LEFT JOIN (SELECT company_id, po_number, sum(received_amount)::BIGINT AS received, count(*) AS n FROM v_grn GROUP BY ALL) g ON g.company_id = i.company_id AND g.po_number = m.selected[1]
+  LEFT JOIN v_vendor_changes c ON c.company_id = v.company_id AND c.vendor_id = v.vendor_id LEFT JOIN q_findings f ON f.document_id = i.document_id LEFT JOIN (SELECT document_id, reconciliation FROM q_recon) e ON e.document_id = i.document_id
+  LEFT JOIN q_dup d ON d.document_id = i.document_id LEFT JOIN v_paid_vendors pv ON pv.company_id = i.company_id AND pv.vendor_id = t.cand_vendor_id"""
 
 
-def exact_matches(fx):
-    c = cand.by_number(fx.invoices, fx.pos, cand.tenant_flags(fx.pos, fx.source_records)).filter("method = 'exact' and seq = 1")
-    return c.select("company_id", "document_id", "po_number")
+def chain_inputs(fx):
+    """What validation needs besides the match: vendor changes, vendors paid before, counts of duplicates, reconciliation."""
+    changes = fx.vendors.filter("s % 19 = 0 or s % 23 = 0").selectExpr("company_id", "vendor_id as match_vendor_id", "case when s % 19 = 0 then 'unverified' else 'verified' end as bank_change")
+    paid = fx.allocations.select("po_number").join(fx.pos.filter("s % 3 <> 1").select("company_id", "po_number", "vendor_id"), "po_number")
+    return chain.History(changes, paid, ck.prior_is_blocking(fx.prior_runs, fx.allocations))
 
 
 def build_context(fx):
     prepared(fx)
-    inv = fx.invoices
-    price, qty = ck.line_variances()
-    lined = ln.match_lines(exact_matches(fx), fx.invoice_lines, masters(fx).po_lines, MATCH_TOKENS, {"price_fail": price, "qty_flag": qty}).drop("maps")
-    owner = fx.pos.select("company_id", "po_number", F.col("vendor_id").alias("match_vendor_id"))
-    matched = lined.join(owner, ["company_id", "po_number"])
-    res = ven.resolve_normalized(inv, fx.vendors).select("company_id", "vendor_name", F.col("vendor_id").alias("resolved_vendor_id"))
-    ctx = ck.validation_context(inv.join(res, ["company_id", "vendor_name"], "left"), matched, fx.pos, fx.vendors, fx.grn)
-    ctx = ctx.withColumns({
-        "match_status": F.expr("case when not has_po then case when scn = 4 then 'waiting_for_po' else 'non_po_workflow' end when k % 15 = 0 then 'ambiguous_match' else 'high_confidence_match' end"),
-        "suggestion": F.lit(False), "provenance": F.lit("human_confirmed"), "n_matched": F.col("has_po").cast("int"),
-        "reconciliation": F.expr("case when k % 29 = 0 then 'residual_review' else 'reconciled' end")})
-    changes = fx.vendors.filter("s % 19 = 0 or s % 23 = 0").selectExpr("company_id", "vendor_id as match_vendor_id", "case when s % 19 = 0 then 'unverified' else 'verified' end as bank_change")
-    ctx = ctx.join(changes, ["company_id", "match_vendor_id"], "left")
-    paid = fx.allocations.select("po_number").join(fx.pos.filter("s % 3 <> 1").select("company_id", "po_number", "vendor_id"), "po_number")
-    ctx = ck.unpaid_vendors(ctx, paid)
-    dup = ck.duplicate_counts(inv, ck.prior_is_blocking(fx.prior_runs, fx.allocations))
-    return ctx.join(dup, ["company_id", "document_id"], "left").withColumn("mode", ck.validation_mode())
+    state = recon(fx).select("company_id", "document_id", "reconciliation")
+    return chain.validation_inputs(fx.invoices.join(state, ["company_id", "document_id"]), fx.invoice_lines, packages(fx), masters(fx), chain_inputs(fx))
 
 
 def context(fx):
@@ -79,10 +69,7 @@ def j16(fx):
                               F.coalesce("vendor_state", F.lit("")).alias("vendor_state"), "has_grn", "received_cents", "tax_rate")
 
 
-@query("v1_validation_mode", """SELECT document_id, CASE WHEN suggestion AND match_status IN ('waiting_for_po', 'suggested_po_match', 'unmatched', 'multiple_candidates') AND len(selected) = 0 THEN 'none'
-    WHEN match_status IN ('matched', 'high_confidence_match', 'partial_match', 'ambiguous_match', 'waiting_for_grn', 'closed_po_review') THEN
-      CASE WHEN suggestion AND provenance NOT IN ('evidence', 'authoritative_po', 'human_confirmed') THEN 'none' WHEN match_status = 'ambiguous_match' AND provenance <> 'human_confirmed' THEN 'none' ELSE 'full' END
-    WHEN match_status = 'non_po_workflow' THEN 'limited' WHEN match_status IN ('waiting_for_po', 'suggested_po_match', 'unmatched', 'multiple_candidates') THEN 'none' ELSE 'invalid' END AS mode FROM q_match""")
+@query("v1_validation_mode", f"SELECT document_id, {_MODE} AS mode FROM q_match")
 def v1(fx):
     return packages(fx).withColumn("n_matched", F.size("matched_pos")).select("document_id", ck.validation_mode().alias("mode"))
 
@@ -94,7 +81,7 @@ CTES["q_checks"] = f"""
          ELSE 'FLAG' END AS s_tax_validation,
     CASE WHEN coalesce(invoice_number, '') = '' AND coalesce(vendor_name, '') = '' THEN 'NOT_APPLICABLE' WHEN n_exact > 0 THEN 'FAIL' WHEN n_number > 0 OR n_near > 0 THEN 'FLAG' ELSE 'PASS' END AS s_duplicate_detection,
     CASE WHEN NOT has_vendor THEN CASE WHEN match_status = 'non_po_workflow' THEN 'FLAG' ELSE 'UNAVAILABLE' END WHEN vendor_state IN ('inactive', 'suspended') OR coalesce(bank_change = 'unverified', false) THEN 'FAIL'
-         WHEN vendor_state <> 'active' OR (has_po AND coalesce(resolved_vendor_id, po_vendor_id) <> po_vendor_id) THEN 'FLAG' ELSE 'PASS' END AS s_vendor_validation,
+         WHEN vendor_state <> 'active' OR (has_po AND coalesce(coalesce(resolved_vendor_id, match_vendor_id) <> po_vendor_id, false)) THEN 'FLAG' ELSE 'PASS' END AS s_vendor_validation,
     CASE WHEN NOT has_po THEN 'NOT_APPLICABLE' WHEN po_type = 'blanket' THEN 'PASS' WHEN n_grn IS NULL THEN 'UNAVAILABLE' WHEN total_cents IS NULL OR received_cents <= 0 THEN 'PASS'
          WHEN CASE WHEN total_cents > 0 THEN received_cents::DOUBLE / total_cents ELSE 0e0 END >= 0.95e0 THEN 'PASS' ELSE 'FLAG' END AS s_receipt_match,
     CASE WHEN NOT has_po THEN 'NOT_APPLICABLE' WHEN total_cents IS NULL THEN 'UNAVAILABLE' WHEN total_cents <= po_remaining THEN 'PASS' WHEN total_cents <= po_remaining + po_total * 0.05e0 THEN 'FLAG' ELSE 'FAIL' END AS s_budget_tolerance,
@@ -102,8 +89,8 @@ CTES["q_checks"] = f"""
     coalesce(CASE WHEN total_cents < 1000000 AND 1000000 - total_cents <= 30000 THEN 1000000 END, CASE WHEN total_cents < 2500000 AND 2500000 - total_cents <= 75000 THEN 2500000 END,
              CASE WHEN total_cents < 5000000 AND 5000000 - total_cents <= 150000 THEN 5000000 END, 0) AS g_shaved,
     coalesce(length(trim(invoice_number)) < 3, false) AS g_short, coalesce(total_cents > 2000000 AND is_new_vendor, false) AS g_new,
-    list_filter([CASE WHEN match_status <> 'high_confidence_match' AND invoice_number IS NULL THEN 'missing_invoice_number' WHEN match_status <> 'high_confidence_match' AND number_status = 'uncertain' THEN 'missing_invoice_number_uncertain' END,
-      CASE WHEN match_status <> 'high_confidence_match' AND invoice_date IS NULL THEN 'missing_invoice_date' END, CASE WHEN currency IS NULL THEN 'missing_currency' END,
+    list_filter([CASE WHEN match_status NOT IN ('matched', 'high_confidence_match', 'partial_match') AND invoice_number IS NULL THEN 'missing_invoice_number' WHEN match_status NOT IN ('matched', 'high_confidence_match', 'partial_match') AND number_status = 'uncertain' THEN 'missing_invoice_number_uncertain' END,
+      CASE WHEN match_status NOT IN ('matched', 'high_confidence_match', 'partial_match') AND invoice_date IS NULL THEN 'missing_invoice_date' END, CASE WHEN currency IS NULL THEN 'missing_currency' END,
       CASE WHEN reconciliation = 'residual_review' THEN 'reconciliation_residual' END], lambda c: c IS NOT NULL) AS x_reasons
   FROM q_ctx"""
 CTES["q_checked"] = """
@@ -187,14 +174,14 @@ CTES["q_controls"] = """
     list(reason_code ORDER BY ord) FILTER (status = 'UNAVAILABLE') AS l_gone, list(reason_code ORDER BY ord) FILTER (status = 'FLAG') AS l_flag
   FROM q_check_rows GROUP BY 1"""
 CTES["q_report"] = """
-  SELECT * REPLACE (CASE WHEN mode = 'none' THEN ['CONTRACT_GATE_NO_VALIDATION'] ELSE list_filter(list_concat(reasons, x_reasons), lambda r, i: list_position(list_concat(reasons, x_reasons), r) = i) END AS reasons) FROM (
-  SELECT c.*, CASE WHEN mode = 'none' THEN 'VALIDATION_INCOMPLETE' WHEN n_block > 0 THEN 'BLOCKED' WHEN n_hold > 0 THEN 'HOLD' WHEN n_gone > 0 THEN 'VALIDATION_INCOMPLETE'
+  SELECT * REPLACE (CASE WHEN mode = 'none' THEN ['CONTRACT_GATE_NO_VALIDATION'] WHEN mode = 'invalid' THEN ['CONTRACT_FAILURE'] ELSE list_filter(list_concat(reasons, x_reasons), lambda r, i: list_position(list_concat(reasons, x_reasons), r) = i) END AS reasons) FROM (
+  SELECT c.*, CASE WHEN mode IN ('none', 'invalid') THEN 'VALIDATION_INCOMPLETE' WHEN n_block > 0 THEN 'BLOCKED' WHEN n_hold > 0 THEN 'HOLD' WHEN n_gone > 0 THEN 'VALIDATION_INCOMPLETE'
       WHEN n_flag > 0 OR g_shaved > 0 OR g_new OR match_status = 'ambiguous_match' THEN 'REVIEW_REQUIRED' ELSE 'VALIDATED' END AS overall_state,
     CASE WHEN n_block > 0 THEN l_block WHEN n_hold > 0 THEN l_hold WHEN n_gone > 0 THEN l_gone
       ELSE list_filter(list_concat(coalesce(l_flag, []), [CASE WHEN g_shaved > 0 THEN 'THRESHOLD_SHAVING' END, CASE WHEN g_new THEN 'NEW_VENDOR_HIGH_AMOUNT' END,
         CASE WHEN match_status = 'ambiguous_match' THEN 'AMBIGUOUS_PO_MATCH' END]), lambda r: r IS NOT NULL) END AS reasons,
-    CASE WHEN mode = 'none' THEN '' WHEN n_block > 0 THEN 'BLOCK' WHEN n_hold > 0 THEN 'HOLD' ELSE '' END AS control_type,
-    CASE WHEN mode = 'none' THEN 0 WHEN n_block > 0 THEN n_block WHEN n_hold > 0 THEN n_hold ELSE 0 END AS n_controls
+    CASE WHEN mode IN ('none', 'invalid') THEN '' WHEN n_block > 0 THEN 'BLOCK' WHEN n_hold > 0 THEN 'HOLD' ELSE '' END AS control_type,
+    CASE WHEN mode IN ('none', 'invalid') THEN 0 WHEN n_block > 0 THEN n_block WHEN n_hold > 0 THEN n_hold ELSE 0 END AS n_controls
   FROM q_checked c LEFT JOIN q_controls t ON t.document_id = c.document_id)"""
 
 
@@ -207,9 +194,9 @@ def v14_signals(fx):
     return context(fx).withColumn("g", ck.fraud_signals()).select("document_id", F.array_join(F.transform("g", lambda s: s["signal"]), ",").alias("signals"))
 
 
-@query("v16_aggregate_controls", "SELECT document_id, overall_state, control_type, n_controls FROM q_report WHERE mode <> 'none'")
+@query("v16_aggregate_controls", "SELECT document_id, overall_state, control_type, n_controls FROM q_report WHERE mode IN ('full', 'limited')")
 def v16(fx):
-    x = ck.aggregate_controls(ck.run_checks(context(fx))).filter("mode <> 'none'")
+    x = ck.aggregate_controls(ck.run_checks(context(fx))).filter("mode in ('full', 'limited')")
     return x.select("document_id", "overall_state", F.coalesce(F.try_element_at("controls", F.lit(1))["control_type"], F.lit("")).alias("control_type"), F.size("controls").cast("bigint").alias("n_controls"))
 
 
@@ -218,8 +205,8 @@ def v16_rows(fx):
     return ck.run_checks(context(fx)).select("document_id", F.explode("checks").alias("c")).select("document_id", "c.check_id", "c.status", "c.reason_code")
 
 
-@query("v17_validation_report", """SELECT document_id, overall_state, array_to_string(reasons, ',') AS reason_codes, CASE WHEN mode = 'none' THEN 'MANUAL_REVIEW' WHEN overall_state IN ('VALIDATED', 'REVIEW_REQUIRED') THEN 'STAGE4_DECISION'
-    WHEN overall_state IN ('HOLD', 'BLOCKED') THEN 'EXCEPTION_RESOLUTION' ELSE 'WAIT_OR_REVALIDATE' END AS next_action, mode = 'none' OR overall_state IN ('HOLD', 'VALIDATION_INCOMPLETE') AS revalidation_eligible FROM q_report""")
+@query("v17_validation_report", """SELECT document_id, overall_state, array_to_string(reasons, ',') AS reason_codes, CASE WHEN mode = 'none' THEN 'MANUAL_REVIEW' WHEN mode = 'invalid' THEN 'INVESTIGATE' WHEN overall_state IN ('VALIDATED', 'REVIEW_REQUIRED') THEN 'STAGE4_DECISION'
+    WHEN overall_state IN ('HOLD', 'BLOCKED') THEN 'EXCEPTION_RESOLUTION' ELSE 'WAIT_OR_REVALIDATE' END AS next_action, mode = 'none' OR (mode <> 'invalid' AND overall_state IN ('HOLD', 'VALIDATION_INCOMPLETE')) AS revalidation_eligible FROM q_report""")
 def v17(fx):
     return report(fx).select("document_id", "overall_state", F.array_join("reason_codes", ",").alias("reason_codes"), "next_action", "revalidation_eligible")
 

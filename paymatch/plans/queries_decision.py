@@ -13,7 +13,7 @@ from paymatch.policy import ROUTING, DecisionPolicy
 AS_OF = "2024-03-02 02:00:00"
 
 CTES["q_dctx"] = f"""
-  SELECT *, CASE WHEN total_cents = 0 THEN NULL ELSE total_cents END AS amount, mode <> 'none' AND control_type = 'BLOCK' AS hard, g_new AS first_payment,
+  SELECT *, CASE WHEN total_cents = 0 THEN NULL ELSE total_cents END AS amount, control_type = 'BLOCK' AS hard, g_new AS first_payment,
     epoch(TIMESTAMP '{AS_OF}') - epoch(arrival_ts) > 24 * 3600 AS stale, coalesce(vendor_state, '') AS vstate FROM q_report"""
 CTES["q_dec0"] = """
   SELECT *, CASE WHEN coalesce(amount, 0) <= 500000 THEN 'LOW' WHEN amount <= 5000000 THEN 'MEDIUM' WHEN amount <= 50000000 THEN 'HIGH' ELSE 'CRITICAL' END AS tier,
@@ -29,11 +29,11 @@ CTES["q_decision"] = f"""
     CASE WHEN step IN ('contract', 'hard') THEN 'NORMAL' ELSE {_ROUTE(1, "'NORMAL'")} END AS prio, CASE WHEN step IN ('contract', 'hard') THEN 0 ELSE {_ROUTE(2, "48")} END AS sla
   FROM (SELECT *, CASE step WHEN 'contract' THEN 'WAITING_FOR_VALIDATION' WHEN 'hard' THEN 'REJECT' WHEN 'override' THEN 'REVIEW_REQUIRED'
       WHEN 'state' THEN CASE WHEN overall_state = 'VALIDATION_INCOMPLETE' THEN 'WAITING_FOR_VALIDATION' ELSE 'REVIEW_REQUIRED' END ELSE 'APPROVE' END AS decision,
-    CASE step WHEN 'contract' THEN 'REVALIDATION_REQUIRED' WHEN 'hard' THEN 'TERMINAL_REJECT' WHEN 'override' THEN override WHEN 'state' THEN mapped
+    CASE step WHEN 'contract' THEN CASE WHEN mode = 'invalid' THEN 'WAITING_FOR_REQUIRED_DATA' ELSE 'REVALIDATION_REQUIRED' END WHEN 'hard' THEN 'TERMINAL_REJECT' WHEN 'override' THEN override WHEN 'state' THEN mapped
       ELSE CASE WHEN auto THEN 'AUTO_APPROVED' ELSE 'APPROVAL_REQUIRED' END END AS substate,
     CASE tier WHEN 'LOW' THEN 'finance-manager-group' WHEN 'MEDIUM' THEN 'finance-manager-group' WHEN 'HIGH' THEN 'finance-director-group' ELSE 'cfo-group' END AS grp
    FROM (SELECT *, tier = 'LOW' AND risk = 'STANDARD' AS auto,
-      CASE WHEN stale THEN 'contract' WHEN hard THEN 'hard' WHEN override IS NOT NULL THEN 'override' WHEN mapped IS NOT NULL THEN 'state' ELSE 'authority' END AS step FROM q_dec0))"""
+      CASE WHEN stale OR mode = 'invalid' THEN 'contract' WHEN hard THEN 'hard' WHEN override IS NOT NULL THEN 'override' WHEN mapped IS NOT NULL THEN 'state' ELSE 'authority' END AS step FROM q_dec0))"""
 
 
 def decisions(fx):
@@ -46,7 +46,7 @@ def d1(fx):
     return dec.decision_context(report(fx)).select("document_id", F.coalesce("amount", F.lit(-1)).alias("amount"), "first_payment", F.col("ctx_vendor_status").alias("vendor_status"))
 
 
-@query("d2_decision_contract", "SELECT document_id, CASE WHEN stale THEN 'STALE_VALIDATION' ELSE '' END AS reason FROM q_dctx")
+@query("d2_decision_contract", "SELECT document_id, CASE WHEN mode = 'invalid' THEN 'STAGE3_NOT_COMPLETED' WHEN stale THEN 'STALE_VALIDATION' ELSE '' END AS reason FROM q_dctx")
 def d2(fx):
     return report(fx).select("document_id", F.coalesce(dec.decision_contract(AS_OF + "Z"), F.lit("")).alias("reason"))
 
@@ -96,7 +96,7 @@ def d9(fx):
 
 
 CTES["q_rules"] = """
-  SELECT document_id, step, tier, auto, risk, concat_ws(',', CASE WHEN step = 'contract' THEN 'CONTRACT_FRESHNESS!' ELSE 'CONTRACT_GATE' END,
+  SELECT document_id, step, tier, auto, risk, concat_ws(',', CASE WHEN step = 'contract' THEN CASE WHEN mode = 'invalid' THEN 'CONTRACT_PROCESSING_STATE!' ELSE 'CONTRACT_FRESHNESS!' END ELSE 'CONTRACT_GATE' END,
     CASE WHEN step = 'hard' THEN 'HARD_CONTROL_BLOCKED!' WHEN step <> 'contract' THEN 'HARD_CONTROL_GATE' END,
     CASE WHEN step IN ('override', 'state', 'authority') THEN 'BANK_CHANGE_OVERRIDE,NEW_VENDOR_OVERRIDE' || CASE WHEN first_payment AND amount > 1000000 THEN '!' ELSE '' END
       || ',CLUSTERING_OVERRIDE' || CASE WHEN g_shaved > 0 THEN '!' ELSE '' END || ',HIGH_FRAUD_OVERRIDE' END,
@@ -147,7 +147,7 @@ def d11(fx):
     return fx.runs.select("document_id", dec.buyer_verdict().alias("verdict"))
 
 
-@query("d12_attention_rules", """SELECT document_id, array_to_string(list_transform(list_filter(string_split(rules, ','), lambda r: ends_with(r, '!') AND r NOT IN ('AUTHORITY_AUTO_APPROVE!', 'STAGE3_STATE!', 'CONTRACT_FRESHNESS!')
+@query("d12_attention_rules", """SELECT document_id, array_to_string(list_transform(list_filter(string_split(rules, ','), lambda r: ends_with(r, '!') AND r NOT IN ('AUTHORITY_AUTO_APPROVE!', 'STAGE3_STATE!', 'CONTRACT_FRESHNESS!', 'CONTRACT_PROCESSING_STATE!')
   AND NOT starts_with(r, 'MATERIALITY_')), lambda r: replace(r, '!', '')), ',') AS rules FROM q_rules""")
 def d12(fx):
     return decisions(fx).select("document_id", F.array_join(dec.attention_rules(), ",").alias("rules"))

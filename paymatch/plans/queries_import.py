@@ -17,7 +17,7 @@ _MAP = {"supplier_name": "vendor_name", "supplier_code": "supplier_code", "tax_i
 
 def raw_rows(fx):
     pairs = [x for c in _COLS for x in (F.lit(c), F.col(c))]
-    return fx.import_rows.select(F.lit("C1").alias("company_id"), "row_id", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("raw"))
+    return fx.import_rows.select("company_id", "row_id", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("raw"))
 
 
 def classified(fx):
@@ -181,10 +181,10 @@ CTES["q_classified2"] = CTES["q_classified"].replace(f"{_FULL('inv_number')} AND
                                                      f"{_FULL('inv_number')} AND (coalesce(try_cast(inv_total AS DOUBLE), 0) > 0 OR {_FULL('inv_date')}) AS inv")
 
 # --- I6-I11 -----------------------------------------------------------------------------------------
-CTES["q_identities"] = f"""SELECT DISTINCT trim(coalesce(supplier_name, '')) AS vendor_name, trim(coalesce(supplier_code, '')) AS supplier_code, trim(coalesce(tax_id, '')) AS tax_id, {sql_vendor_key("trim(coalesce(supplier_name, ''))")} AS key FROM v_import_rows"""
+CTES["q_identities"] = f"""SELECT DISTINCT company_id, trim(coalesce(supplier_name, '')) AS vendor_name, trim(coalesce(supplier_code, '')) AS supplier_code, trim(coalesce(tax_id, '')) AS tax_id, {sql_vendor_key("trim(coalesce(supplier_name, ''))")} AS key FROM v_import_rows"""
 CTES["q_import_vendors"] = """SELECT i.*, coalesce(a.vendor_id, b.vendor_id, c.vendor_id) AS hit FROM q_identities i
-  LEFT JOIN v_vendors a ON a.company_id = 'C1' AND i.supplier_code <> '' AND a.supplier_code = i.supplier_code LEFT JOIN v_vendors b ON b.company_id = 'C1' AND i.tax_id <> '' AND b.tax_id = i.tax_id
-  LEFT JOIN v_vendors c ON c.company_id = 'C1' AND i.vendor_name <> '' AND c.normalized_name = i.key AND i.key <> ''"""
+  LEFT JOIN v_vendors a ON a.company_id = i.company_id AND i.supplier_code <> '' AND a.supplier_code = i.supplier_code LEFT JOIN v_vendors b ON b.company_id = i.company_id AND i.tax_id <> '' AND b.tax_id = i.tax_id
+  LEFT JOIN v_vendors c ON c.company_id = i.company_id AND i.vendor_name <> '' AND c.normalized_name = i.key AND i.key <> ''"""
 
 
 def identities(fx):
@@ -192,26 +192,26 @@ def identities(fx):
     return raw_rows(fx).select("company_id", c["supplier_name"].alias("vendor_name"), c["supplier_code"].alias("supplier_code"), c["tax_id"].alias("tax_id"), F.lit("").alias("vendor_id"))
 
 
-@query("i6_resolve_import_vendor_by_key", "SELECT vendor_name, supplier_code, tax_id, CASE WHEN hit IS NOT NULL THEN 'existing' WHEN vendor_name <> '' THEN 'safe_create' ELSE 'blocked' END AS status, coalesce(hit, '') AS resolved_id FROM q_import_vendors")
+@query("i6_resolve_import_vendor_by_key", "SELECT company_id, vendor_name, supplier_code, tax_id, CASE WHEN hit IS NOT NULL THEN 'existing' WHEN vendor_name <> '' THEN 'safe_create' ELSE 'blocked' END AS status, coalesce(hit, '') AS resolved_id FROM q_import_vendors")
 def i6(fx):
     r = im.resolve_import_vendors(identities(fx), fx.vendors, fuzzy=False)
-    return r.select("vendor_name", "supplier_code", "tax_id", F.col("vendor_status").alias("status"), F.coalesce("resolved_id", F.lit("")).alias("resolved_id"))
+    return r.select("company_id", "vendor_name", "supplier_code", "tax_id", F.col("vendor_status").alias("status"), F.coalesce("resolved_id", F.lit("")).alias("resolved_id"))
 
 
 @query("i6_resolve_import_vendor")
 def i6_full(fx):
-    return im.resolve_import_vendors(identities(fx), fx.vendors).select("vendor_name", "supplier_code", "tax_id", "vendor_status", "resolved_id")
+    return im.resolve_import_vendors(identities(fx), fx.vendors).select("company_id", "vendor_name", "supplier_code", "tax_id", "vendor_status", "resolved_id")
 
 
-@query("i7_assign_vendor_ids", """SELECT key, 'V' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS vendor_id FROM (SELECT key, (SELECT max(substring(vendor_id, 2)::BIGINT) FROM v_vendors) + row_number() OVER (ORDER BY key) AS n
-  FROM (SELECT DISTINCT key FROM q_import_vendors WHERE hit IS NULL AND vendor_name <> ''))""")
+@query("i7_assign_vendor_ids", """SELECT company_id, key, 'V' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS vendor_id FROM (SELECT company_id, key, (SELECT max(substring(vendor_id, 2)::BIGINT) FROM v_vendors) + row_number() OVER (ORDER BY company_id, key) AS n
+  FROM (SELECT DISTINCT company_id, key FROM q_import_vendors WHERE hit IS NULL AND vendor_name <> ''))""")
 def i7(fx):
     new = im.resolve_import_vendors(identities(fx), fx.vendors, fuzzy=False).filter("vendor_status = 'safe_create'")
-    return im.assign_vendor_ids(new, fx.vendors).select("key", "vendor_id")
+    return im.assign_vendor_ids(new, fx.vendors).select("company_id", "key", "vendor_id")
 
 
-CTES["q_firsts"] = f"SELECT {sql_valid_po('po_no')} AS po, min(row_id) AS first_row FROM q_classified2 WHERE rt = 'purchase_order' AND {sql_valid_po('po_no')} IS NOT NULL GROUP BY 1"
-CTES["q_known_pos"] = "SELECT po FROM q_firsts UNION SELECT po_number FROM v_pos WHERE status = 'open' AND company_id = 'C1'"
+CTES["q_firsts"] = f"SELECT {sql_valid_po('po_no')} AS po, company_id, min(row_id) AS first_row FROM q_classified2 WHERE rt = 'purchase_order' AND {sql_valid_po('po_no')} IS NOT NULL GROUP BY 1, 2"
+CTES["q_known_pos"] = "SELECT company_id, po FROM q_firsts UNION SELECT company_id, po_number FROM v_pos WHERE status = 'open'"
 CTES["q_canonical"] = f"""
   SELECT c.row_id, c.rt AS record_type, CASE
     WHEN rt = 'vendor' THEN CASE WHEN {_FULL('supplier_name')} THEN 'ready|' ELSE 'blocked|missing name' END
@@ -219,9 +219,10 @@ CTES["q_canonical"] = f"""
       WHEN NOT ({_FULL('supplier_name')}) THEN 'blocked|missing vendor name and identifiers' WHEN coalesce(try_cast(po_total AS DOUBLE), 0) <= 0 AND coalesce(try_cast(inv_total AS DOUBLE), 0) <= 0 THEN 'blocked|invalid total_amount' ELSE 'ready|' END
     WHEN rt IN ('invoice_transaction', 'invoice_with_po_reference') THEN CASE WHEN NOT ({_FULL('supplier_name')}) THEN 'blocked|missing vendor_name'
       WHEN NOT ({_FULL('inv_number')}) AND coalesce(try_cast(inv_total AS DOUBLE), 0) <= 0 THEN 'blocked|missing invoice identifier/amount' ELSE 'ready|' END
-    WHEN rt = 'line' THEN CASE WHEN NOT ({_FULL('po_no')}) THEN 'blocked|missing po_number' WHEN trim(po_no) NOT IN (SELECT po FROM q_known_pos) THEN 'blocked|PO not found' WHEN coalesce(try_cast(line_no AS DOUBLE), 0)::BIGINT <= 0 THEN 'blocked|invalid line_number' ELSE 'ready|' END
+    WHEN rt = 'line' THEN CASE WHEN NOT ({_FULL('po_no')}) THEN 'blocked|missing po_number' WHEN n.po IS NULL THEN 'blocked|PO not found' WHEN coalesce(try_cast(line_no AS DOUBLE), 0)::BIGINT <= 0 THEN 'blocked|invalid line_number' ELSE 'ready|' END
     WHEN rt = 'grn' THEN CASE WHEN NOT ({_FULL('po_no')}) THEN 'blocked|missing po_number' ELSE 'ready|' END ELSE 'skipped|unclassified row, kept in staging only' END AS verdict
-  FROM q_classified2 c LEFT JOIN q_firsts f ON f.po = {sql_valid_po('c.po_no')} AND c.rt = 'purchase_order'"""
+  FROM q_classified2 c LEFT JOIN q_firsts f ON f.po = {sql_valid_po('c.po_no')} AND f.company_id = c.company_id AND c.rt = 'purchase_order'
+  LEFT JOIN q_known_pos n ON n.company_id = c.company_id AND n.po = trim(c.po_no)"""
 
 
 def canonical(fx):
@@ -233,22 +234,22 @@ def i8(fx):
     return canonical(fx).select("row_id", "record_type", "row_status", "issue")
 
 
-CTES["q_mirror"] = f"""SELECT s.company_id, s.source_record_id, CASE WHEN ref IS NOT NULL AND ref NOT IN (SELECT po_number FROM v_pos WHERE k % 21 = 0) AND r = 1 THEN ref ELSE 'IMP-' || source_record_id END AS po_number, invoice_total AS total_amount
-  FROM (SELECT *, {sql_valid_po('po_reference')} AS ref, row_number() OVER (PARTITION BY company_id, po_reference ORDER BY source_record_id) AS r FROM v_source_records WHERE invoice_total > 0) s"""
+CTES["q_mirror"] = f"""SELECT s.company_id, s.source_record_id, CASE WHEN ref IS NOT NULL AND t.po_number IS NULL AND r = 1 THEN ref ELSE 'IMP-' || source_record_id END AS po_number, invoice_total AS total_amount
+  FROM (SELECT *, {sql_valid_po('po_reference')} AS ref, row_number() OVER (PARTITION BY company_id, po_reference ORDER BY source_record_id) AS r FROM v_source_records WHERE invoice_total > 0) s LEFT JOIN v_pos t ON t.company_id = s.company_id AND t.po_number = ref"""
 
 
 @query("i9_mirror_source_to_po", "SELECT source_record_id, po_number, total_amount FROM q_mirror")
 def i9(fx):
-    return im.mirror_orders(fx.source_records, fx.pos.filter("k % 21 = 0")).select("source_record_id", "po_number", "total_amount")
+    return im.mirror_orders(fx.source_records, fx.pos).select("source_record_id", "po_number", "total_amount")
 
 
 @query("i10_backfill_mirrors", f"""WITH m AS (SELECT source_record_id, 'MIR-' || k AS m_po, CASE WHEN k % 6 = 0 THEN 'Somebody Else' ELSE vendor_name END AS m_vendor FROM v_source_records WHERE k % 2 = 0),
   o AS (SELECT s.*, m.m_po, CASE WHEN coalesce(invoice_total, 0) > 0 AND coalesce(vendor_name, '') <> '' THEN CASE WHEN m.m_po IS NULL THEN 'mirrored' WHEN {sql_vendor_key('m.m_vendor')} <> {sql_vendor_key('s.vendor_name')} THEN 'repaired' ELSE 'skipped' END ELSE 'skipped' END AS outcome
     FROM v_source_records s LEFT JOIN m ON m.source_record_id = s.source_record_id)
-  SELECT source_record_id, outcome, coalesce(CASE WHEN outcome = 'mirrored' THEN CASE WHEN po_reference IS NOT NULL AND po_reference NOT IN (SELECT po_number FROM v_pos WHERE k % 21 = 0) THEN po_reference ELSE 'IMP-' || source_record_id END ELSE m_po END, '') AS po_number FROM o""")
+  SELECT source_record_id, outcome, coalesce(CASE WHEN outcome = 'mirrored' THEN CASE WHEN po_reference IS NOT NULL AND t.po_number IS NULL THEN po_reference ELSE 'IMP-' || source_record_id END ELSE m_po END, '') AS po_number FROM o LEFT JOIN v_pos t ON t.company_id = o.company_id AND t.po_number = o.po_reference""")
 def i10(fx):
     m = fx.source_records.filter("k % 2 = 0").selectExpr("company_id", "source_record_id", "concat('MIR-', k) as po_number", "case when k % 6 = 0 then 'Somebody Else' else vendor_name end as vendor_name")
-    x = im.backfill_mirrors(fx.source_records, m, fx.pos.filter("k % 21 = 0"), repair=True)
+    x = im.backfill_mirrors(fx.source_records, m, fx.pos, repair=True)
     return x.select("source_record_id", "outcome", F.coalesce("po_number", F.lit("")).alias("po_number"))
 
 
@@ -257,7 +258,7 @@ def i11(fx):
     return im.activation_summary(canonical(fx))
 
 
-@query("i11_import_outcome", "SELECT count(*) FILTER (verdict LIKE 'ready%') AS ready, count(*) FILTER (verdict LIKE 'blocked%') AS blocked, false AS valid, true AS partial_success, false AS review_needed FROM q_canonical")
+@query("i11_import_outcome", "SELECT count(*) FILTER (verdict LIKE 'ready%') AS ready, count(*) FILTER (verdict LIKE 'blocked%') AS blocked, count(*) FILTER (verdict LIKE 'ready%') > 0 AND count(*) FILTER (verdict LIKE 'blocked%') = 0 AS valid, count(*) FILTER (verdict LIKE 'ready%') > 0 AS partial_success, false AS review_needed FROM q_canonical")
 def i11_outcome(fx):
     return im.import_outcome(canonical(fx))
 

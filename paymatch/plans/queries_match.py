@@ -11,6 +11,7 @@ from paymatch.operators import matching as mat
 from paymatch.operators import scoring as sc
 from paymatch.operators import vendors as ven
 from paymatch.plans.oracle_base import CTES, sql_description_key, sql_jaccard, sql_po_key, sql_po_key_loose, sql_vendor_key, sql_word_set
+from paymatch.plans.queries_extraction import evidence
 from paymatch.plans.registry import query
 from paymatch.plans.runtime import stage
 from paymatch.policy import MATCH, MATCH_TOKENS
@@ -346,14 +347,14 @@ CTES["q_final"] = """
                len(unmatched) > 0 AND n_lines > 0 AND share > 0 AND share < 1 AS partial FROM q_state)"""
 CTES["q_match"] = """
   SELECT f.company_id, f.document_id, f.selected, f.suggestion, f.multi, f.n_lines, f.top_score, f.n_cands, f.unmatched, f.ambiguity, f.total_cents,
-    CASE WHEN n_cands IS NULL THEN CASE WHEN suggestion AND coalesce(f.vendor_name, '') <> '' THEN 'unmatched' WHEN presence <> 'non_po' THEN 'waiting_for_po' ELSE 'non_po_workflow' END
+    CASE WHEN e.matchable = '' THEN 'no_matching_evidence' WHEN n_cands IS NULL THEN CASE WHEN suggestion AND coalesce(f.vendor_name, '') <> '' THEN 'unmatched' WHEN presence <> 'non_po' THEN 'waiting_for_po' ELSE 'non_po_workflow' END
          WHEN suggestion AND presence = 'non_po' AND len(selected) = 0 THEN 'suggested_po_match' ELSE state END AS match_status,
-    CASE WHEN n_cands IS NULL THEN 'po_not_found' ELSE state_flags END AS flags,
+    CASE WHEN e.matchable = '' THEN '' WHEN n_cands IS NULL THEN 'po_not_found' ELSE state_flags END AS flags,
     CASE WHEN n_cands IS NULL THEN '' WHEN suggestion AND presence = 'non_po' AND len(selected) = 0 THEN 'suggestion' WHEN len(selected) = 0 THEN ''
          WHEN NOT suggestion AND presence = 'po_invoice' THEN 'authoritative_po' WHEN ambiguity IN ('matched', 'high_confidence_match') THEN 'evidence' ELSE 'suggestion' END AS provenance,
     CASE WHEN n_cands IS NULL THEN 'unresolved' WHEN r.vendor_id IS NOT NULL THEN 'master_hit' WHEN len(selected) > 0 AND t.s_vendor > 0 AND t.cand_vendor_id <> '' THEN 'po_aligned' ELSE 'unresolved' END AS vendor_master_status,
     coalesce(r.vendor_id, CASE WHEN len(selected) > 0 AND t.s_vendor > 0 AND t.cand_vendor_id <> '' THEN t.cand_vendor_id END, '') AS vendor_id
-  FROM q_final f LEFT JOIN q_resolved r ON r.company_id = f.company_id AND r.vendor_name = f.vendor_name
+  FROM q_final f JOIN q_evidence e ON e.document_id = f.document_id LEFT JOIN q_resolved r ON r.company_id = f.company_id AND r.vendor_name = f.vendor_name
   LEFT JOIN q_scored t ON t.document_id = f.document_id AND t.po_number = f.selected[1]"""
 
 
@@ -375,7 +376,8 @@ def scored(fx, policy=MATCH_TOKENS):
 def packages(fx, policy=MATCH_TOKENS):
     n = fx.invoice_lines.groupBy("company_id", "document_id").agg(F.count(F.lit(1)).alias("n_lines"))
     return fx.memo(f"packages_{policy.similarity}", lambda: mat.match_package(
-        with_refs(fx.invoices), scored(fx, policy), n, masters(fx), cand.resolve_for(fx.invoices, fx.vendors, policy), policy))
+        with_refs(fx.invoices).join(evidence(fx).select("company_id", "document_id", "can_match"), ["company_id", "document_id"]),
+        scored(fx, policy), n, masters(fx), cand.resolve_for(fx.invoices, fx.vendors, policy), policy))
 
 
 def own_pairs(fx):
@@ -510,12 +512,20 @@ def m8(fx):
     return package_columns(packages(fx))
 
 
+@query("m8_suggested_candidates", """SELECT r.document_id, r.pos, r.po_number, r.score AS score_x10 FROM q_ranked r JOIN q_match m ON m.document_id = r.document_id
+  WHERE r.pos <= 10 AND m.match_status <> 'no_matching_evidence'""")
+def m8_suggested(fx):
+    x = packages(fx).select("document_id", F.posexplode("suggested_pos").alias("i", "c"))
+    return x.select("document_id", (F.col("i") + 1).cast("bigint").alias("pos"), "c.po_number", F.col("c.score").alias("score_x10"))
+
+
 @query("m8_match_package_with_fuzzy")
 def m8_full(fx):
     return package_columns(packages(fx, MATCH))
 
 
 @query("m9_match_explanation", """SELECT m.document_id, m.match_status, CASE WHEN m.match_status IN ('matched', 'high_confidence_match') AND len(selected) = 1 THEN 'One open PO uniquely matched the available evidence.'
+    WHEN m.match_status = 'no_matching_evidence' THEN 'Extraction was unable to provide enough information for PO matching.'
     WHEN m.match_status IN ('ambiguous_match', 'multiple_candidates') THEN 'Available evidence was insufficient to distinguish PO candidates.'
     WHEN m.match_status = 'unmatched' AND coalesce(v.n, 0) = 0 THEN 'No open PO matched the extracted evidence.'
     WHEN m.match_status = 'waiting_for_po' THEN 'PO reference or evidence insufficient for confident match.'

@@ -120,7 +120,7 @@ class Fixtures:
 
     @cached_property
     def invoices(self) -> DataFrame:
-        p = self.pos.filter("k % 10 < 8").withColumns({
+        p = self.pos.withColumns({
             "scn": F.expr("(k div 3) % 12"), "remaining": F.col("total_amount") - F.col("previously_invoiced")})
         p = p.withColumn("total0", F.expr(
             "case scn when 0 then remaining when 5 then remaining * 101 div 100 when 6 then remaining * 104 div 100 "
@@ -133,17 +133,17 @@ class Fixtures:
             "else concat('INV-', lpad(cast(k as string), 7, '0')) end as invoice_number",
             "case when k % 37 = 0 then 0e0 else 0.95e0 end as number_conf",
             "case when k % 37 = 0 then 'not_found' when k % 43 = 0 then 'uncertain' else 'extracted' end as number_status",
-            "case when k % 71 = 0 then null "
+            "case when k % 71 = 0 or k % 83 = 0 then null "
             "when k % 11 = 3 then replace(replace(master_name, 'or', 'r'), 'al', 'a1') "
             "when k % 11 = 5 then upper(replace(master_name, ',', '')) "
             f"when k % 11 = 7 and s % 6 = 0 then concat({_pick(WORD2, '(s div 8) % 5')}, ' ', "
             f"{_pick(WORD1, 's % 8')}, ' ', s) else master_name end as vendor_name",
-            "case when k % 71 = 0 then 0e0 when k % 7 = 3 then 0.8e0 else 0.95e0 end as vendor_conf",
-            "case when k % 71 = 0 then 'not_found' when k % 61 = 0 then 'uncertain' else 'extracted' end as vendor_status",
-            "case when scn = 1 then replace(po_number, '-', case when k % 2 = 0 then '' else '.' end) when scn = 2 then null when scn = 3 then 'N/A' "
+            "case when k % 71 = 0 or k % 83 = 0 then 0e0 when k % 7 = 3 then 0.8e0 else 0.95e0 end as vendor_conf",
+            "case when k % 71 = 0 or k % 83 = 0 then 'not_found' when k % 61 = 0 then 'uncertain' else 'extracted' end as vendor_status",
+            "case when k % 83 = 0 then null when scn = 1 then replace(po_number, '-', case when k % 2 = 0 then '' else '.' end) when scn = 2 then null when scn = 3 then 'N/A' "
             "when scn = 4 then concat(substring(po_number, 1, 9), 'X') else po_number end as po_value",
-            "case when scn in (2, 3) then 0e0 when scn = 4 then 0.6e0 else 0.95e0 end as po_conf",
-            "case when scn = 2 then 'not_found' else 'extracted' end as po_status",
+            "case when scn in (2, 3) or k % 83 = 0 then 0e0 when scn = 4 then 0.6e0 else 0.95e0 end as po_conf",
+            "case when scn = 2 or k % 83 = 0 then 'not_found' else 'extracted' end as po_status",
             "case when k % 53 = 0 then null else date_add(issue_date, cast(k % 200 as int)) end as invoice_date",
             "case when k % 53 = 0 then 0e0 else 0.88e0 end as date_conf",
             "case when k % 53 = 0 then 'not_found' else 'extracted' end as date_status",
@@ -153,10 +153,10 @@ class Fixtures:
             "subtotal0 - case when k % 16 = 0 then 1500 else 0 end as subtotal_cents", "0.95e0 as subtotal_conf",
             "case when k % 73 = 0 then 0 else total0 - subtotal0 "
             "- case when k % 29 = 0 then 6000 when k % 31 = 0 then 700 else 0 end end as tax_cents", "0.95e0 as tax_conf",
-            "case when k % 67 = 0 then null else total0 end as total_cents",
-            "case when k % 67 = 0 then 0e0 when k % 19 = 0 then 0.8e0 when k % 5 = 2 then 0.92e0 else 0.97e0 end as total_conf",
-            "case when k % 67 = 0 then 'not_found' else 'extracted' end as total_status",
-            "case when k % 13 = 0 then concat('ORD-', k) end as ref_value",
+            "case when k % 67 = 0 or k % 83 = 0 then null else total0 end as total_cents",
+            "case when k % 67 = 0 or k % 83 = 0 then 0e0 when k % 19 = 0 then 0.8e0 when k % 5 = 2 then 0.92e0 else 0.97e0 end as total_conf",
+            "case when k % 67 = 0 or k % 83 = 0 then 'not_found' else 'extracted' end as total_status",
+            "case when k % 13 = 0 and k % 83 <> 0 then concat('ORD-', k) end as ref_value",
             "timestamp_seconds(1709251200 + (k * 7919) % 100003) as arrival_ts",
             "k", "scn", "po_number as true_po",
         )
@@ -164,7 +164,7 @@ class Fixtures:
     @cached_property
     def invoice_lines(self) -> DataFrame:
         inv = self.invoices.select("company_id", "document_id", F.col("true_po").alias("po_number"), "scn")
-        return self.po_lines.join(inv, "po_number").filter("not (scn % 3 = 1 and line_number % 4 = 0)").selectExpr(
+        return self.po_lines.join(inv, "po_number").filter("not (scn % 3 = 1 and line_number % 4 = 0) and k % 83 <> 0").selectExpr(
             "company_id", "document_id",
             "case when scn % 3 = 1 then line_number - line_number div 4 else line_number end as line_no",
             "concat(description, case when scn % 2 = 1 then ' item' else '' end, "
@@ -201,10 +201,10 @@ class Fixtures:
 
     @cached_property
     def source_records(self) -> DataFrame:
-        return self.invoices.filter("k % 7 = 0 and company_id = 'C2'").selectExpr(
+        return self.invoices.filter("company_id = 'C2'").selectExpr(
             "company_id", "concat('SR', lpad(cast(k as string), 7, '0')) as source_record_id", "vendor_name",
             "invoice_number", "invoice_date", "total_cents as invoice_total", "currency",
-            "case when k % 14 = 0 then null else true_po end as po_reference",
+            "case when k % 14 = 0 then null when k % 7 = 3 then concat('EXT-', k) else true_po end as po_reference",
             "timestamp_seconds(1704067200 + (k * 31) % 9973) as created_at", "k")
 
     @cached_property
@@ -280,13 +280,13 @@ class Fixtures:
 
         def shape(df: DataFrame, kind: str, **exprs) -> DataFrame:
             return df.selectExpr(
-                f"concat('{kind}', lpad(cast(rid as string), 10, '0')) as row_id",
+                "company_id", f"concat('{kind}', lpad(cast(rid as string), 10, '0')) as row_id",
                 *[f"cast({exprs.get(c, 'null')} as string) as {c}" for c in cols])
 
         v = self.vendors.selectExpr("s as rid", "*")
         p = self.pos.selectExpr("k as rid", "*")
-        ln = self.po_lines.selectExpr("k * 100 + line_number as rid", "*")
-        iv = self.invoices.filter("k % 7 = 0").selectExpr("k as rid", "*")
+        ln = self.po_lines.join(self.pos.select("po_number", "company_id"), "po_number").selectExpr("k * 100 + line_number as rid", "*")
+        iv = self.invoices.selectExpr("k as rid", "*")
         vendor = shape(v, "A", record_type="case when s % 2 = 0 then 'vendor' end", supplier_name="name",
                        supplier_code="case when s % 5 = 0 then supplier_code end", tax_id="tax_id",
                        remarks="concat('r', s)")
