@@ -13,21 +13,23 @@ from paymatch.sources.fixtures import SUFFIX, WORD1, WORD2
 CTES: dict[str, str] = {}
 
 
-def oracle(body: str) -> str:
+def oracle(body: str, instead: dict[str, str] | None = None) -> str:
+    """The text with the CTEs it needs before it; `instead` replaces or adds some for this text."""
+    tables = CTES | (instead or {})
     need: list[str] = []
 
     def visit(text: str, open_names: tuple = ()) -> None:
-        for name in CTES:  # a recursive CTE mentions itself
+        for name in tables:  # a recursive CTE mentions itself
             if name not in need and name not in open_names and re.search(rf"\b{name}\b", text):
-                visit(CTES[name], (*open_names, name))
+                visit(tables[name], (*open_names, name))
                 if name not in need:
                     need.append(name)
 
     visit(body)
     if not need:
         return body
-    recursive = "RECURSIVE " if any("/*recursive*/" in CTES[n] for n in need) or "/*recursive*/" in body else ""
-    head = "WITH " + recursive + ",\n".join(f"{n} AS ({CTES[n]})" for n in need)
+    recursive = "RECURSIVE " if any("/*recursive*/" in tables[n] for n in need) or "/*recursive*/" in body else ""
+    head = "WITH " + recursive + ",\n".join(f"{n} AS ({tables[n]})" for n in need)
     body = body.strip()
     if body[:5].upper() == "WITH ":
         return head + ",\n" + re.sub(r"^WITH( RECURSIVE)? ", "", body, flags=re.I)

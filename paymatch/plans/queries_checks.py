@@ -33,15 +33,15 @@ _MODE = """CASE WHEN suggestion AND match_status IN ('waiting_for_po', 'suggeste
     WHEN match_status = 'non_po_workflow' THEN 'limited' WHEN match_status IN ('waiting_for_po', 'suggested_po_match', 'unmatched', 'multiple_candidates') THEN 'none' ELSE 'invalid' END"""
 CTES["q_ctx"] = f"""
   SELECT i.*, m.selected[1] AS po_number, p.po_number IS NOT NULL AS has_po, p.vendor_id AS po_vendor_id, p.total_amount AS po_total, p.previously_invoiced AS po_prior, p.total_amount - p.previously_invoiced AS po_remaining,
-    p.po_type, v.vendor_id IS NOT NULL AS has_vendor, v.status AS vendor_state, CASE WHEN len(m.selected) > 0 THEN nullif(m.vendor_id, '') END AS resolved_vendor_id, t.cand_vendor_id AS match_vendor_id,
+    p.po_type, v.vendor_id IS NOT NULL AS has_vendor, v.status AS vendor_state, CASE WHEN len(m.selected) > 0 THEN nullif(m.vendor_id, '') END AS resolved_vendor_id, m.cand_vendor AS match_vendor_id,
     g.n AS n_grn, coalesce(g.received, 0) AS received_cents, c.bank_change, m.match_status, m.mode, e.reconciliation, coalesce(f.price_fail, false) AS price_fail, coalesce(f.qty_flag, false) AS qty_flag,
-    coalesce(d.n_exact, 0) AS n_exact, coalesce(d.n_number, 0) AS n_number, coalesce(d.n_near, 0) AS n_near, nullif(t.cand_vendor_id, '') IS NOT NULL AND pv.vendor_id IS NULL AS is_new_vendor,
+    coalesce(d.n_exact, 0) AS n_exact, coalesce(d.n_number, 0) AS n_number, coalesce(d.n_near, 0) AS n_near, nullif(m.cand_vendor, '') IS NOT NULL AND pv.vendor_id IS NULL AS is_new_vendor,
     CASE WHEN p.import_derived THEN CASE WHEN subtotal_cents > 0 THEN tax_cents::DOUBLE / subtotal_cents ELSE 0.08e0 END ELSE 0.08e0 END AS tax_rate, p.import_derived AS po_import
   FROM v_invoices i JOIN (SELECT *, {_MODE} AS mode FROM q_match) m ON m.document_id = i.document_id LEFT JOIN v_pos p ON p.company_id = i.company_id AND p.po_number = m.selected[1]
-  LEFT JOIN q_scored t ON t.document_id = m.document_id AND t.po_number = m.selected[1] LEFT JOIN v_vendors v ON v.company_id = i.company_id AND v.vendor_id = t.cand_vendor_id
+  LEFT JOIN v_vendors v ON v.company_id = i.company_id AND v.vendor_id = m.cand_vendor
   LEFT JOIN (SELECT company_id, po_number, sum(received_amount)::BIGINT AS received, count(*) AS n FROM v_grn GROUP BY ALL) g ON g.company_id = i.company_id AND g.po_number = m.selected[1]
   LEFT JOIN v_vendor_changes c ON c.company_id = v.company_id AND c.vendor_id = v.vendor_id LEFT JOIN q_findings f ON f.document_id = i.document_id LEFT JOIN (SELECT document_id, reconciliation FROM q_recon) e ON e.document_id = i.document_id
-  LEFT JOIN q_dup d ON d.document_id = i.document_id LEFT JOIN v_paid_vendors pv ON pv.company_id = i.company_id AND pv.vendor_id = t.cand_vendor_id"""
+  LEFT JOIN q_dup d ON d.document_id = i.document_id LEFT JOIN v_paid_vendors pv ON pv.company_id = i.company_id AND pv.vendor_id = m.cand_vendor"""
 
 
 def chain_inputs(fx):

@@ -353,7 +353,7 @@ CTES["q_match"] = """
     CASE WHEN n_cands IS NULL THEN '' WHEN suggestion AND presence = 'non_po' AND len(selected) = 0 THEN 'suggestion' WHEN len(selected) = 0 THEN ''
          WHEN NOT suggestion AND presence = 'po_invoice' THEN 'authoritative_po' WHEN ambiguity IN ('matched', 'high_confidence_match') THEN 'evidence' ELSE 'suggestion' END AS provenance,
     CASE WHEN n_cands IS NULL THEN 'unresolved' WHEN r.vendor_id IS NOT NULL THEN 'master_hit' WHEN len(selected) > 0 AND t.s_vendor > 0 AND t.cand_vendor_id <> '' THEN 'po_aligned' ELSE 'unresolved' END AS vendor_master_status,
-    coalesce(r.vendor_id, CASE WHEN len(selected) > 0 AND t.s_vendor > 0 AND t.cand_vendor_id <> '' THEN t.cand_vendor_id END, '') AS vendor_id
+    coalesce(r.vendor_id, CASE WHEN len(selected) > 0 AND t.s_vendor > 0 AND t.cand_vendor_id <> '' THEN t.cand_vendor_id END, '') AS vendor_id, t.cand_vendor_id AS cand_vendor
   FROM q_final f JOIN q_evidence e ON e.document_id = f.document_id LEFT JOIN q_resolved r ON r.company_id = f.company_id AND r.vendor_name = f.vendor_name
   LEFT JOIN q_scored t ON t.document_id = f.document_id AND t.po_number = f.selected[1]"""
 

@@ -24,27 +24,27 @@ def forget_fixtures() -> None:
     _FIXTURES.clear()
 
 
-_SQL: dict[str, str] = {}
+_SQL: dict[str, tuple[str, dict | None]] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register `fn(fixtures) -> DataFrame` under `name`."""
+def query(name: str, sql: str | None = None, instead: dict[str, str] | None = None):
+    """Register `fn(fixtures) -> DataFrame` under `name`; `instead` replaces tables that the SQL is built on."""
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(fixtures(spark, sf_dir))
         if sql is not None:
-            _SQL[name] = sql
+            _SQL[name] = (sql, instead)
         return fn
     return wrap
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(text) for name, text in _SQL.items()}
+    return {name: oracle(*text) for name, text in _SQL.items()}
 
 
 for _module in ("queries_views", "queries_text", "queries_extraction", "queries_match", "queries_checks",
-                "queries_decision", "queries_audit", "queries_import", "queries_stream"):
+                "queries_decision", "queries_audit", "queries_rerun", "queries_import", "queries_stream"):
     try:
         importlib.import_module(f"paymatch.plans.{_module}")
     except ModuleNotFoundError as missing:
