@@ -41,6 +41,35 @@ def a2(fx):
     return raw.select(F.col("raw")["vendor_id"].alias("vendor_id"), F.col("raw")["vendor_name"].alias("name"), F.col("raw")["status"].alias("status"))
 
 
+def mixed_folder(fx):
+    """Two uploads of the vendors under different headers, in another order, with quoted names; the second lacks what the first has."""
+    if "mixed_folder" not in fx.__dict__:
+        from paymatch.streaming.stream import work_dir
+        path = work_dir(fx.spark, "mixed")
+        out = lambda df: df.coalesce(1).write.mode("append").option("header", True).csv(path)
+        out(fx.vendors.filter("s % 2 = 0").selectExpr("vendor_id as `Vendor ID`", "name as `Vendor Name`", "status as ` Status `", "tax_id as `Tax ID`"))
+        out(fx.vendors.filter("s % 2 = 1").selectExpr("concat('\"', name, '\", quoted') as `Vendor Name`", "company_id as `Company  Id`", "vendor_id as `vendor id`"))
+        fx.__dict__["mixed_folder"] = path
+    return fx.__dict__["mixed_folder"]
+
+
+@query("a2_mixed_headers", """SELECT vendor_id, CASE WHEN s % 2 = 0 THEN name ELSE '"' || name || '", quoted' END AS name, CASE WHEN s % 2 = 0 THEN 'status,tax_id,vendor_id,vendor_name' ELSE 'company_id,vendor_id,vendor_name' END AS keys,
+  CASE WHEN s % 2 = 0 THEN tax_id ELSE company_id END AS other FROM v_vendors""")
+def a2_mixed(fx):
+    r = F.col("raw")
+    return tb.read_import_files(fx.spark, mixed_folder(fx)).select(
+        r["vendor_id"].alias("vendor_id"), r["vendor_name"].alias("name"), F.array_join(F.array_sort(F.map_keys(r)), ",").alias("keys"), F.coalesce(r["tax_id"], r["company_id"]).alias("other"))
+
+
+@query("a1_read_master_table", "SELECT vendor_id, name, status FROM v_vendors WHERE company_id = 'C1'")
+def a1_read(fx):
+    if "vendor_file" not in fx.__dict__:
+        from paymatch.streaming.stream import work_dir
+        fx.__dict__["vendor_file"] = work_dir(fx.spark, "vendors") + ".csv"
+        fx.vendors.select("company_id", "vendor_id", "name", "status").write.option("header", True).csv(fx.__dict__["vendor_file"])
+    return tb.read_master_table(fx.spark, fx.__dict__["vendor_file"], "company_id string, vendor_id string, name string, status string", "C1").select("vendor_id", "name", "status")
+
+
 @query("a2_file_checksums")
 def a2_checksums(fx):
     return tb.file_checksums(fx.spark, import_folder(fx)).select("length", "checksum")

@@ -43,6 +43,20 @@ def st2(fx):
     return st.duplicate_guard(s, st.work_dir(fx.spark, "st2"), ["vendor_key", "number"])
 
 
+CTES["q_arrivals"] = """SELECT document_id, ts, user_id % 40 AS v, 'N' || (event_id % 400) AS n, CASE WHEN event_id % 13 = 0 THEN NULL ELSE floor(value)::BIGINT * 100 END AS a, ts::DATE AS d FROM v_submissions JOIN (SELECT event_id, user_id, value FROM events) USING (event_id)"""
+
+
+@query("st2_three_duplicate_tests", """WITH x AS (SELECT *, row_number() OVER (ORDER BY ts, document_id) AS r, count(*) OVER (PARTITION BY v, n ORDER BY ts, document_id ROWS UNBOUNDED PRECEDING) - 1 AS c_number,
+      CASE WHEN a IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY v, n, a ORDER BY ts, document_id ROWS UNBOUNDED PRECEDING) - 1 END AS n_exact FROM q_arrivals),
+  near AS (SELECT x.document_id, count(*) AS n_near FROM x JOIN x y ON y.v = x.v AND y.a = x.a AND y.n <> x.n AND y.r < x.r AND abs(datediff('day', y.d, x.d)) <= 3 GROUP BY 1)
+  SELECT x.document_id, n_exact, c_number - n_exact AS n_number, coalesce(n_near, 0) AS n_near, CASE WHEN n_exact > 0 THEN 'FAIL' WHEN c_number > n_exact OR n_near > 0 THEN 'FLAG' ELSE 'PASS' END AS status
+  FROM x LEFT JOIN near ON near.document_id = x.document_id""")
+def st2_three(fx):
+    s = submissions(fx).selectExpr("document_id", "ts", "cast(substring(po_number, 2) as bigint) % 40 as vendor", "concat('N', event_id % 400) as number",
+                                   "case when event_id % 13 = 0 then null else amount div 100 * 100 end as amount", "to_date(to_utc_timestamp(ts, current_timezone())) as invoice_date")
+    return st.three_duplicate_tests(s, st.work_dir(fx.spark, "three"))
+
+
 CTES["q_stream_requests"] = "SELECT *, row_number() OVER (PARTITION BY po_number ORDER BY ts, document_id) AS r FROM v_submissions WHERE event_type = 'purchase'"
 CTES["q_stream_fold"] = """ /*recursive*/
   SELECT DISTINCT po_number, 0::BIGINT AS r, 20000::BIGINT AS remaining, '' AS document_id, false AS accepted FROM v_submissions
@@ -57,12 +71,27 @@ def st3(fx):
     return st.po_balance(s, balances, st.work_dir(fx.spark, "st3")).select("document_id", "accepted", "remaining")
 
 
-@query("st4_stream_sla_breaches", """SELECT floor(epoch(ts + to_hours(CASE event_type WHEN 'error' THEN 4 ELSE 48 END)) / 86400)::BIGINT * 86400 AS day, CASE event_type WHEN 'error' THEN 'security-fraud-queue' ELSE 'ap-exception-queue' END AS queue, count(*) AS due
+_QUEUE = "CASE event_type WHEN 'error' THEN 'security-fraud-queue' ELSE 'ap-exception-queue' END"
+
+
+@query("st4_stream_due_items", f"""SELECT floor(epoch(ts + to_hours(CASE event_type WHEN 'error' THEN 4 ELSE 48 END)) / 86400)::BIGINT * 86400 AS day, {_QUEUE} AS queue, count(*) AS due
   FROM v_submissions WHERE event_type <> 'view' GROUP BY 1, 2""")
-def st4(fx):
-    s = submissions(fx).filter("event_type <> 'view'").withColumn("queue", F.expr("case event_type when 'error' then 'security-fraud-queue' else 'ap-exception-queue' end"))
+def st4_due(fx):
+    s = submissions(fx).filter("event_type <> 'view'").withColumn("queue", F.expr(_QUEUE))
     hours = F.when(F.col("queue") == "security-fraud-queue", 4).otherwise(48)
-    return st.update_results(st.sla_breaches(s, hours), st.work_dir(fx.spark, "st4"), ["day", "queue"])
+    return st.update_results(st.due_items(s, hours), st.work_dir(fx.spark, "st4"), ["day", "queue"])
+
+
+# a view completes the work item that the event with the number before it opened
+CTES["q_items"] = f"""SELECT 'W' || event_id AS item, {_QUEUE} AS queue, floor(epoch(ts))::BIGINT + CASE event_type WHEN 'error' THEN 4 ELSE 48 END * 3600 AS due_at, event_id FROM v_submissions WHERE event_type <> 'view'"""
+
+
+@query("st4_stream_sla_breaches", """SELECT item, queue, due_at FROM q_items i LEFT JOIN (SELECT event_id - 1 AS closes, floor(epoch(ts))::BIGINT AS done_at FROM v_submissions WHERE event_type = 'view') v ON v.closes = i.event_id
+  WHERE NOT coalesce(done_at <= due_at, false) AND due_at <= (SELECT floor(epoch(max(ts)))::BIGINT - 172800 FROM v_submissions)""")
+def st4(fx):
+    s = submissions(fx).selectExpr("concat('W', case when event_type = 'view' then event_id - 1 else event_id end) as item", "ts", "event_type <> 'view' as opened", f"{_QUEUE} as queue",
+                                   "case event_type when 'error' then 4 else 48 end as hours")
+    return st.sla_breaches(s, st.work_dir(fx.spark, "breaches"))
 
 
 @query("st5_stream_ledger_append", """SELECT row_number() OVER (ORDER BY ts, document_id) AS ledger_sequence, document_id AS event_id, sha256(h) AS content_hash,

@@ -25,12 +25,27 @@ def read_master_table(spark: SparkSession, path: str, schema=None, company_id: s
     return df if company_id is None else df.filter(F.col("company_id") == company_id)
 
 
-def read_import_files(spark: SparkSession, path: str) -> DataFrame:
-    """A2.  A folder of CSV files with headers to (file, raw) rows with snake-case headers; all values stay text."""
-    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    keys = df.columns
-    entries = F.array(*[F.struct(header_key(F.lit(c)).alias("k"), F.col(f"`{c}`").alias("v")) for c in keys])
-    return df.select(F.col("_metadata.file_name").alias("file_name"), F.map_from_entries(entries).alias("raw"))
+def read_import_files(spark: SparkSession, path: str, **csv_options: str) -> DataFrame:
+    """A2.  A folder of CSV files to (file_name, raw) rows; all values stay text.
+
+    Every file has its own header: names, order and number of columns may differ from file to file.  Headers become
+    snake case; a name that repeats in a header gets its place as a suffix, and an empty one is named by its place.  A row with too few values
+    lacks the keys of the rest, further values are kept under column_<place>; blank lines are left out.  Rows end at line ends.
+
+    The first line of a file's first split is its header; headers are a small table that is joined to the lines by file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"),
+                                         F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.filter(F.trim("value") != "")
+    headers = lines.filter("split = 0").groupBy("file").agg(F.min(F.struct("line", "value")).alias("h")).select("file", F.col("h.line").alias("first"), F.col("h.value").alias("header"))
+    n = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1  # at least as many as values, whatever is quoted
+    fields = lambda c: F.array(*[F.from_csv(c, F.lit(", ".join(f"c{i} string" for i in range(n))), dict(csv_options))[f"c{i}"] for i in range(n)])
+    keys = F.transform(fields(F.col("header")), lambda h, i: F.coalesce(F.nullif(header_key(F.trim(h)), F.lit("")), F.concat(F.lit("column_"), (i + 1).cast("string"))))
+    headers = headers.select("file", "first", keys.alias("k0")).select("file", "first", F.transform("k0", lambda k, i: F.when(
+        F.array_position("k0", k) == i + 1, k).otherwise(F.concat(k, F.lit("__"), (i + 1).cast("string")))).alias("keys"))
+    rows = lines.join(headers, "file").filter("line <> first").withColumn("values", fields(F.col("value")))
+    pairs = F.filter(F.arrays_zip(F.col("keys").alias("k"), F.col("values").alias("v")), lambda e: e["v"].isNotNull())
+    return rows.select("file_name", F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["k"], e["v"]))).alias("raw"))
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:

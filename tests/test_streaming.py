@@ -25,3 +25,43 @@ def test_a_stopped_stream_goes_on_from_its_state(spark, tmp_path):
     assert guard() == {"a": False, "b": True, "c": False, "d": True, "e": True, "f": False}
     files(spark, source, [("D", "Q", 2, "g", 1)])
     assert late() == {"g"}
+
+
+ARRIVALS = "document_id string, ts timestamp, vendor string, number string, amount bigint, invoice_date date"
+
+
+def arrivals(spark, path, rows):
+    data = [(i, datetime(2024, 1, d, h), v, n, a, None if d is None else datetime(2024, 1, x).date() if x else None) for i, d, h, v, n, a, x in rows]
+    spark.createDataFrame(data, ARRIVALS).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_three_duplicate_tests_in_arrival_order(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    run = lambda: {r.document_id: (r.n_exact, r.n_number, r.n_near, r.status) for r in
+                   st.three_duplicate_tests(st.read_submissions(spark, source, ARRIVALS), f"{tmp_path}/out", lag=5).collect()}
+    arrivals(spark, source, [("a", 1, 1, "V", "1", 10, 1), ("b", 1, 2, "V", "1", 10, 1), ("c", 1, 3, "V", "1", 11, 1), ("d", 1, 4, "V", "2", 10, 4), ("e", 1, 5, "V", "3", 10, 5),
+                             ("f", 1, 6, None, "1", 10, 1), ("g", 1, 7, "V", None, 10, 1), ("h", 1, 8, "V", "1", None, 1)])
+    first = {"a": (0, 0, 0, "PASS"), "b": (1, 0, 0, "FAIL"), "c": (0, 2, 0, "FLAG"), "d": (0, 0, 2, "FLAG"), "e": (0, 0, 1, "FLAG"), "g": (0, 0, 3, "FLAG"), "h": (0, 3, 0, "FLAG")}
+    assert run() == first
+    arrivals(spark, source, [("i", 2, 1, "V", "1", 10, 2), ("j", 20, 1, "W", "9", 1, 20)])  # after a restart; the watermark moves on
+    second = first | {"i": (2, 2, 3, "FAIL"), "j": (0, 0, 0, "PASS")}
+    assert run() == second
+    arrivals(spark, source, [("k", 21, 1, "V", "7", 10, 2)])  # its days were dropped: more than band and lag before the watermark
+    assert run() == second | {"k": (0, 0, 0, "PASS")}
+
+
+ITEMS = "item string, ts timestamp, opened boolean, queue string, hours int"
+
+
+def test_items_open_at_their_due_time(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    add = lambda rows: spark.createDataFrame([(i, datetime(2024, 1, d, h), o, "q", 24) for i, d, h, o in rows], ITEMS).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: {r.item: r.due_at for r in st.sla_breaches(st.read_submissions(spark, source, ITEMS), f"{tmp_path}/out").collect()}
+    due = lambda d, h: int((datetime(2024, 1, d, h) - datetime(1970, 1, 1)).total_seconds())
+    add([("done", 1, 0, True), ("late", 1, 0, True), ("never", 1, 1, True), ("before", 1, 0, False), ("edge", 1, 2, True)])
+    add([("done", 1, 20, False), ("late", 2, 1, False), ("before", 1, 3, True), ("edge", 2, 2, False)])
+    assert run() == {}
+    add([("x", 6, 0, True)])
+    assert run() == {"late": due(2, 0), "never": due(2, 1)}
+    add([("never", 7, 0, False), ("y", 12, 0, True)])
+    assert run() == {"late": due(2, 0), "never": due(2, 1), "x": due(7, 0)}
