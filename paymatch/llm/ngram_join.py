@@ -332,44 +332,6 @@ def block_pairs(n, comp, sigs, rule: Rule, left=None):
     return np.concatenate(found_i) if found_i else np.empty(0, int), np.concatenate(found_j) if found_j else np.empty(0, int)
 
 
-def _block_links(rule: Rule):
-    """Possible links of each block; rows come sorted by block (leader, part, other part).
-
-    A pair that several blocks hold is given by the one whose leader is smallest.
-    """
-    def close(leader, rows):
-        cls, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-        left = None if rows[0][4] else np.array([r[5] for r in rows], bool)
-        i, j = block_pairs(n, comp, [np.frombuffer(r[3], np.uint64) for r in rows], rule, left)
-        led = [set(r[6]) for r in rows]
-        first = np.fromiter((min(led[x] & led[y]) == leader for x, y in zip(i, j)), bool, len(i))
-        i, j = i[first], j[first]
-        return np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-
-    def run(frames):
-        block, rows, found = None, [], []
-
-        def flush():
-            ends = [np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), ()))]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
-
-        for frame in frames:
-            columns = [frame.column(c).to_pylist() for c in ("block", "part", "other", "cls", "n", "comp", "sig", "side", "leaders")]
-            for leader, part, other, cls, n, comp, sig, side, leaders in zip(*columns):
-                if (leader, part, other) != block:
-                    if len(rows) > 1:
-                        found.append(close(block[0], rows))
-                    if len(found) > 2000:
-                        yield flush()
-                    block, rows = (leader, part, other), []
-                rows.append((cls, n, comp, sig, part == other, side, leaders))
-        if len(rows) > 1:
-            found.append(close(block[0], rows))
-        yield flush()
-    return run
-
-
 def _in_blocks(frames, names):
     """(block, rows) of Arrow rows sorted by (block, part, other), with the columns `names` of each row."""
     block, rows = None, []
@@ -384,29 +346,29 @@ def _in_blocks(frames, names):
         yield block, rows
 
 
-def _own_pairs(block, cls, n, sigs, side, leaders, rule: Rule):
-    """Possible links of a block of different sets, without those that a block with a smaller leader has too."""
+def _own_pairs(block, comp, n, sigs, side, leaders, rule: Rule):
+    """Possible links between components of a block, without those that a block with a smaller leader has too."""
     left = None if block[1] == block[2] else np.array(side, bool)
-    i, j = block_pairs(np.array(n, np.int64), np.array(cls, np.int64), sigs, rule, left)
+    i, j = block_pairs(np.array(n, np.int64), np.array(comp, np.int64), sigs, rule, left)
     led = [set(x) for x in leaders]
     own = np.fromiter((min(led[x] & led[y]) == block[0] for x, y in zip(i, j)), bool, len(i))
     return i[own], j[own]
 
 
-_INVOLVED = "block bigint, part int, other int, cls bigint, side boolean, leaders array<bigint>"
+_INVOLVED = "block bigint, part int, other int, cls bigint, comp bigint, side boolean, leaders array<bigint>"
 
 
 def _involved(rule: Rule):
     """The rows of each block that bit maps leave a link possible for."""
     def run(frames):
-        for block, rows in _in_blocks(frames, ("cls", "n", "sig", "side", "leaders")):
-            cls, n, sigs, side, leaders = zip(*rows)
-            ends = np.unique(np.concatenate(_own_pairs(block, cls, n, [np.frombuffer(x, np.uint64) for x in sigs], side, leaders, rule)))
+        for block, rows in _in_blocks(frames, ("cls", "comp", "n", "sig", "side", "leaders")):
+            cls, comp, n, sigs, side, leaders = zip(*rows)
+            ends = np.unique(np.concatenate(_own_pairs(block, comp, n, [np.frombuffer(x, np.uint64) for x in sigs], side, leaders, rule)))
             if len(ends):
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array([block[k]] * len(ends), t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))), pa.array([cls[x] for x in ends], pa.int64()),
-                     pa.array([side[x] for x in ends], pa.bool_()), pa.array([leaders[x] for x in ends], pa.list_(pa.int64()))],
-                    names=["block", "part", "other", "cls", "side", "leaders"])
+                     pa.array([comp[x] for x in ends], pa.int64()), pa.array([side[x] for x in ends], pa.bool_()), pa.array([leaders[x] for x in ends], pa.list_(pa.int64()))],
+                    names=["block", "part", "other", "cls", "comp", "side", "leaders"])
     return run
 
 
@@ -434,7 +396,7 @@ def _all_links(rule: Rule):
             cls, members, side, leaders = zip(*rows)
             sets = [np.frombuffer(x, np.uint64) for x in members]
             n = np.array([len(x) for x in sets])
-            i, j = _own_pairs(block, cls, n, [signature(x) for x in sets], side, leaders, rule)
+            i, j = _own_pairs(block, cls, n, [signature(x) for x in sets], side, leaders, rule)  # every set is its own component
             if not len(i):
                 continue
             order = np.argsort(i, kind="stable")
@@ -460,6 +422,34 @@ def _all_links(rule: Rule):
     return run
 
 
+def _joining_links(rule: Rule):
+    """Links of each block that join components; what the links before it in the block connect is not compared again."""
+    def run(frames):
+        for block, rows in _in_blocks(frames, ("cls", "comp", "members", "side", "leaders")):
+            cls, comp, members, side, leaders = zip(*rows)
+            sets = [np.frombuffer(x, np.uint64) for x in members]
+            n = np.array([len(x) for x in sets])
+            i, j = _own_pairs(block, comp, n, [signature(x) for x in sets], side, leaders, rule)
+            root, out = {x: x for x in comp}, []
+
+            def top(x):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            order = np.argsort(i, kind="stable")
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                a, b = top(comp[x]), top(comp[y])
+                if a == b:
+                    continue
+                short, long = sorted((sets[x], sets[y]), key=len)
+                if rule.reached(int(among(short, long).sum()), len(short) + len(long)):
+                    root[a] = b
+                    out.append((cls[x], cls[y]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return run
+
+
 def _bounded(rule: Rule):
     """Pairs whose bit maps leave a link possible."""
     def run(frames):
@@ -471,17 +461,22 @@ def _bounded(rule: Rule):
     return run
 
 
-def _verified(rule: Rule):
-    """Links among pairs that come with both sets."""
+def _with_leader(rule: Rule):
+    """Links of leaders: rows come sorted by (leader, part), the leader's own set first; a set travels once for each leader."""
     def run(frames):
+        group, leader = None, None
         for frame in frames:
+            a, part, b = (frame.column(c).to_pylist() for c in ("a", "part", "b"))
             good = []
-            for x, y in zip(frame.column("set_a"), frame.column("set_b")):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                shared = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                good.append(rule.den * shared >= rule.num * (len(x) + len(y) - shared))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([frame.column("a").filter(keep), frame.column("b").filter(keep)], names=["a", "b"])
+            for k, members in enumerate(frame.column("members")):
+                members = np.frombuffer(members.as_buffer(), np.uint64)
+                if a[k] == b[k]:
+                    group, leader = (a[k], part[k]), members.copy()
+                elif (a[k], part[k]) == group:
+                    short, long = sorted((leader, members), key=len)
+                    if rule.reached(int(among(short, long).sum()), len(leader) + len(members)):
+                        good.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in good], pa.int64()) for x in (a, b)], names=["a", "b"])
     return run
 
 
@@ -518,10 +513,16 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: boo
         return stage(docs.mapInArrow(_sets(size, send(sketches.bitmap(ids, "id_hash")), send(sketches.bitmap(ids, "cls"))), "cls bigint, members binary")
                      .dropDuplicates(["cls"]))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    held = F.greatest(F.count("*") / PART, F.sum(F.col("n").cast("long")) / MEMBERS)  # parts of a block, by rows and by members
+
+    def with_leaders(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, b): each b's set goes to its leader a, in parts of bounded size that each hold a's set."""
         found = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-        side = lambda x: found.select(F.col("cls").alias(x), F.col("members").alias(f"set_{x}"))
-        return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(rule), "a bigint, b bigint"))
+        parts = pairs.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(held).cast("int").alias("parts"))
+        rows = (pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+                .union(parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))))
+        return stage(rows.join(found.withColumnRenamed("cls", "b"), "b").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
+                     .mapInArrow(_with_leader(rule), "a bigint, b bigint"))
 
     # The leader of a block: the set with the fewest leading members of its own, as the original of edited copies is.
     leading_members = F.col("n") - F.ceil(F.col("n").cast("long") * num / den) + 1
@@ -546,25 +547,25 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: boo
 
     if every_link:
         rows = blocks.select("a", F.col("b").alias("cls"))
-        held = F.greatest(F.count("*") / PART, F.sum(F.col("n").cast("long")) / MEMBERS)
         parts = (rows.join(classes.select("cls", "n"), "cls").groupBy("a").agg(F.count("*").alias("rows"), F.ceil(held).cast("int").alias("parts"))
                  .where("rows > 1").select("a", "parts"))
-        rows = by_block(dealt(rows, parts).select("block", "part", "other", "cls", "n", "sig", "side", "leaders"))
+        rows = by_block(dealt(rows, parts).select("block", "part", "other", "cls", F.col("cls").alias("comp"), "n", "sig", "side", "leaders"))
         rows = stage(rows.mapInArrow(_involved(rule), _INVOLVED))
         found = sets_of(rows.select("cls").distinct())
         links = stage(by_block(rows.join(found, "cls")).mapInArrow(_all_links(rule), "a bigint, b bigint, joins boolean"))
         return first.where("hot is null").select("doc_id", "cls", "n"), classes.select("cls", "rep", "n"), links
 
-    links = verified(possible(blocks.where("a <> b")))
+    links = with_leaders(possible(blocks.where("a <> b")))
     labels = components(links)
 
     named = stage(blocks.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("cls"), F.coalesce("label", "b").alias("comp")))
-    parts = stage(named.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
-                  .where("lo <> hi").select("a", F.ceil(F.col("rows") / PART).cast("int").alias("parts")))
-    open_ = dealt(named, parts).select("block", "part", "other", "cls", "n", "comp", "sig", "side", "leaders")
-    pairs = by_block(open_).mapInArrow(_block_links(rule), "a bigint, b bigint")
-    links = links.union(verified(stage(pairs)))
-    return first.where("hot is null").select("doc_id", "cls", "n"), classes.select("cls", "rep", "n"), links
+    parts = stage(named.join(classes.select("cls", "n"), "cls").groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(held).cast("int").alias("parts"))
+                  .where("lo <> hi").select("a", "parts"))
+    rows = by_block(dealt(named, parts).select("block", "part", "other", "cls", "comp", "n", "sig", "side", "leaders"))
+    rows = stage(rows.mapInArrow(_involved(rule), _INVOLVED))
+    found = sets_of(rows.select("cls").distinct())
+    more = stage(by_block(rows.join(found, "cls")).mapInArrow(_joining_links(rule), "a bigint, b bigint"))
+    return first.where("hot is null").select("doc_id", "cls", "n"), classes.select("cls", "rep", "n"), links.union(more)
 
 
 def sketches_of_dry(sets: DataFrame, sent_hot, rule: Rule) -> DataFrame:
