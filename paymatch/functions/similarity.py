@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -37,3 +39,115 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def ratio_matrix(left: pd.Series, right: pd.Series) -> pd.Series:
     """Row-major ratios of every left text against every right text of one (invoice, order) pair."""
     return pd.Series([[ratio(x, y) for x in xs for y in ys] for xs, ys in zip(left, right)])
+
+
+@lru_cache(maxsize=1 << 14)
+def _counts(text: str) -> np.ndarray:
+    """How often each character occurs, characters folded to 64 bins."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) & 63, minlength=64).astype(np.int16)
+
+
+@lru_cache(maxsize=1 << 14)
+def _places(text: str) -> dict[str, int]:
+    """For each character the bit set of its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by the bit-parallel rule over the places of `b`."""
+    places, row, full = _places(b), (1 << len(b)) - 1, (1 << len(b)) - 1
+    for c in a:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
+@lru_cache(maxsize=1 << 14)
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split(" ")) - {""}
+
+
+def _overlap(a: str, b: str) -> float:
+    x, y = _words(a), _words(b)
+    common = len(x & y)
+    return common / (len(x) + len(y) - common) if x and y else 0.0
+
+
+def _nearness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Smaller over larger number where the right one is positive, else 0; a missing left number counts as equal."""
+    x, y = np.asarray(left, np.float64)[:, None], np.asarray(right, np.float64)[None, :]
+    usable = y > 0
+    y = np.where(usable, y, 1.0)
+    x = np.where(np.isnan(x), y, x)
+    return np.where(usable, np.minimum(x, y) / np.maximum(x, y), 0.0)
+
+
+def best_lines(left, left_texts, left_quantity, left_price, right, right_texts, right_skus, right_quantity, right_price, least: float) -> list[list[float]]:
+    """Greedy assignment of the lines of one pair: for each left line the place of its best free right line (-1: none) and the score.
+
+    Lines have a key, an upper-case text, a quantity and a price.  The score is (.4 where the text holds the sku + similarity * .35
+    + nearness of quantities * .15 + of prices * .10), similarity half token overlap, half sequence ratio of the keys, 0 where a
+    text is blank; the first right line wins ties, and a line under `least` leaves its best one free.  Ratios are
+    bounded first: by common characters, then by the longest common subsequence, since the matching blocks are one.  The
+    exact ratio is worked out only where a bound reaches the best exact score.  Every step of the score grows with the ratio in
+    floating point too, so bounds hold to the last bit.
+    """
+    n, m = len(left), len(right)
+    if not n or not m:
+        return [[-1.0, 0.0]] * n
+    sku = np.array([[0.4 if s and t and s in t else 0.0 for s in right_skus] for t in left_texts])
+    blank = np.array([[not (s and t) for s in right_texts] for t in left_texts])
+    overlap = np.array([[_overlap(a, b) for b in right] for a in left])
+    quantity, price = _nearness(left_quantity, right_quantity), _nearness(left_price, right_price)
+    sizes = np.add.outer([len(x) for x in left], [len(x) for x in right])
+    same = np.minimum(np.stack([_counts(x) for x in left])[:, None, :], np.stack([_counts(x) for x in right])[None, :, :]).sum(axis=2, dtype=np.int64)
+    bounds = np.where(sizes > 0, 2.0 * same / np.maximum(sizes, 1), 1.0)
+    most = sku + np.where(blank, 0.0, overlap * 0.5 + bounds * 0.5) * 0.35
+    most = most + quantity * 0.15
+    most = most + price * 0.10
+
+    def score(i: int, j: int, r: float) -> float:
+        s = sku[i, j] + (0.0 if blank[i, j] else overlap[i, j] * 0.5 + r * 0.5) * 0.35
+        return s + quantity[i, j] * 0.15 + price[i, j] * 0.10
+
+    free, out = np.ones(m, bool), []
+    for i in range(n):
+        best, at = -1.0, -1
+        row = most[i]
+        for j in np.argsort(-row, kind="stable").tolist():
+            if not free[j]:
+                continue
+            if row[j] < best:
+                break
+            if row[j] == best and j > at:
+                continue
+            if blank[i, j]:
+                s = score(i, j, 0.0)
+            elif left[i] == right[j]:
+                s = score(i, j, 1.0)
+            else:
+                if at >= 0:
+                    s = score(i, j, 2.0 * common_subsequence(left[i], right[j]) / sizes[i, j])
+                    if s < best or (s == best and j > at):
+                        continue
+                s = score(i, j, ratio(left[i], right[j]))
+            if s > best or (s == best and j < at):
+                best, at = s, j
+        if at >= 0 and best >= least:
+            free[at] = False
+        out.append([float(at), float(max(best, 0.0))])
+    return out
+
+
+def line_assigner(least: float):
+    """Arrow function that gives `best_lines` of each pair."""
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def assign(left: pd.Series, left_texts: pd.Series, left_quantity: pd.Series, left_price: pd.Series, right: pd.Series, right_texts: pd.Series,
+               right_skus: pd.Series, right_quantity: pd.Series, right_price: pd.Series) -> pd.Series:
+        rows = zip(left, left_texts, left_quantity, left_price, right, right_texts, right_skus, right_quantity, right_price)
+        return pd.Series([best_lines(*row, least) for row in rows], dtype=object)
+
+    return assign

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paymatch.functions.expr import true
-from paymatch.functions.similarity import ratio_matrix
+from paymatch.functions.similarity import line_assigner, ratio_matrix
 from paymatch.functions.text import description_key, jaccard, word_set
 from paymatch.policy import MATCH, MatchPolicy
 
@@ -33,9 +33,13 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.least(a, b) / F.greatest(a, b)
 
 
+def _sku_hit(i: Column, p: Column) -> Column:
+    return (p["sku"] != "") & (i["d"] != "") & F.contains(i["u"], p["sku"])
+
+
 def pair_score(i: Column, p: Column, similarity: Column) -> Column:
     """L3."""
-    sku_hit = (p["sku"] != "") & (i["d"] != "") & F.contains(i["u"], p["sku"])
+    sku_hit = _sku_hit(i, p)
     s = F.when(sku_hit, F.lit(0.4)).otherwise(F.lit(0.0)) + similarity * 0.35
     s = s + F.coalesce(F.when(p["q"] > 0, _ratio(i["q"], p["q"])), F.lit(0.0)) * 0.15
     s = s + F.coalesce(F.when(p["p"] > 0, _ratio(i["p"], p["p"])), F.lit(0.0)) * 0.10
@@ -81,6 +85,25 @@ def assign_lines(pairs: DataFrame, policy: MatchPolicy = MATCH) -> DataFrame:
     return pairs.withColumn("maps", F.aggregate(rows, start, step, lambda a: a["maps"]))
 
 
+def assign_blended(pairs: DataFrame, policy: MatchPolicy = MATCH) -> DataFrame:
+    """L2-L4 of the full similarity: the same `maps` as `assign_lines` over `score_matrix`, with few exact ratios.
+
+    The assignment works on whole lines and bounds the ratios, so that only few are worked out.
+    """
+    each = lambda c, f: F.transform(c, lambda line: line[f])
+    x = pairs.withColumn("_b", line_assigner(policy.line_min_score)(*[each("inv_lines", f) for f in "kuqp"], *[each("po_lines", f) for f in ("k", "u", "sku", "q", "p")]))
+
+    def mapping(i: Column, b: Column) -> Column:
+        at, s = F.get(b, F.lit(0)).cast("int"), F.get(b, F.lit(1))
+        hit = (at >= 0) & (s >= policy.line_min_score)
+        p = F.get("po_lines", at)
+        return F.struct(i["no"].alias("invoice_line"), F.when(hit, p["no"]).otherwise(F.lit(0)).cast("bigint").alias("po_line"),
+                        F.when(hit, F.when(_sku_hit(i, p), "exact").otherwise("semantic")).otherwise(F.lit("unmatched")).alias("match_type"),
+                        F.floor(s * 1000.0 + 0.5).cast("bigint").alias("milli"))
+
+    return x.withColumn("maps", F.zip_with("inv_lines", "_b", mapping)).drop("_b")
+
+
 def matched(maps: Column) -> Column:
     return F.filter(maps, lambda m: m["match_type"] != "unmatched")
 
@@ -101,7 +124,8 @@ def match_lines(pairs: DataFrame, invoice_lines: DataFrame, po_lines: DataFrame,
     x = pairs.join(i, ["company_id", "document_id"], "left").join(p, ["company_id", "po_number"], "left")
     x = x.withColumns({"inv_lines": F.coalesce("inv_lines", F.array().cast(i.schema["inv_lines"].dataType)),
                        "po_lines": F.coalesce("po_lines", F.array().cast(p.schema["po_lines"].dataType))})
-    return assign_lines(score_matrix(x, policy), policy).withColumns(findings or {}).drop("inv_lines", "po_lines", "scores")
+    done = assign_lines(score_matrix(x, policy), policy) if policy.similarity == "tokens" else assign_blended(x, policy)
+    return done.withColumns(findings or {}).drop("inv_lines", "po_lines", "scores")
 
 
 def balance_flags(total: Column, remaining: Column, line_flags: Column | None = None) -> Column:
