@@ -283,20 +283,22 @@ def by_broadcast(inv: DataFrame, pos: DataFrame, policy: MatchPolicy = MATCH) ->
 
 
 # --- J10: vendor and amount -----------------------------------------------------------------------
-_LEVELS = 32  # base-4 digits of a positive BIGINT
+def _digit_nodes(amount: Column, upper: bool, levels: int) -> Column:
+    """Tree nodes that tile [amount, top) or [0, amount): at every level the siblings beyond the own digit.
 
-
-def _digit_nodes(amount: Column, upper: bool) -> Column:
-    """Tree nodes that tile [amount, top) or [0, amount): at every level the siblings beyond the own digit."""
+    The tree has base-4 digits up to `levels` and one root above them; an amount beyond the root has all balances below it.
+    """
     nodes = []
-    for level in range(_LEVELS):
+    for level in range(levels):
         digit = F.shiftright(amount, 2 * level).bitwiseAND(F.lit(3))
-        parent = F.shiftright(amount, 2 * level + 2) if level < _LEVELS - 1 else F.lit(0).cast("long")
+        parent = F.shiftright(amount, 2 * level + 2) if level < 31 else F.lit(0).cast("long")
         for d in (1, 2, 3) if upper else (0, 1, 2):
             cond = digit < d if upper else digit > d
             nodes.append(F.when(cond, F.struct(F.lit(level).alias("level"), (parent * 4 + d).alias("node"))))
     if upper:
         nodes.append(F.struct(F.lit(0).alias("level"), amount.alias("node")))
+    elif levels < 32:
+        nodes.append(F.when(F.shiftright(amount, 2 * levels) > 0, F.struct(F.lit(levels).alias("level"), F.lit(0).cast("long").alias("node"))))
     return F.array_compact(F.array(*nodes))
 
 
@@ -328,7 +330,9 @@ def by_vendor_amount(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendor
     """
     k = policy.vendor_amount_top
     stock = stage(_vendor_stock(records, pos, vendors, flags))
-    node = stock.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))).withColumn(
+    # as many levels as the largest balance has digits, and a root
+    levels = min(32, max(1, (int(stock.agg(F.max("remaining")).first()[0] or 0).bit_length() + 1) // 2))
+    node = stock.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(min(levels, 31))))).withColumn(
         "node", F.call_function("shiftright", F.col("remaining"), (F.col("level") * 2).cast("int")))
     nk = ["company_id", "vk", "imp", "level", "node"]
     first = lead(node, nk, ["tier", "age", "sid", "po_number"], k).drop("seq")
@@ -351,8 +355,8 @@ def by_vendor_amount(inv: DataFrame, resolved: DataFrame, pos: DataFrame, vendor
 
     t = F.greatest(F.col("total_cents"), F.lit(0))
     x = x.select(*on, "document_id", "total_cents", t.alias("t")).join(keys, on)
-    fits = x.withColumn("n", F.explode(_digit_nodes(F.col("t"), True))).select("*", "n.level", "n.node").drop("n").join(first, nk)
-    over = x.withColumn("n", F.explode(_digit_nodes(F.col("t"), False))).select("*", "n.level", "n.node").drop("n").join(largest, nk)
+    fits = x.withColumn("n", F.explode(_digit_nodes(F.col("t"), True, levels))).select("*", "n.level", "n.node").drop("n").join(first, nk)
+    over = x.withColumn("n", F.explode(_digit_nodes(F.col("t"), False, levels))).select("*", "n.level", "n.node").drop("n").join(largest, nk)
     excess = (F.col("total_cents") - F.col("remaining")) / F.col("remaining")
     over = over.filter(F.col("total_cents") <= F.col("remaining") * (1 + policy.vendor_amount_tolerance))
     cols = ["company_id", "document_id", "total_cents", "po_number"]

@@ -215,36 +215,61 @@ def match_invoices(inv: DataFrame, invoice_lines: DataFrame, m: Masters, as_of:
     return match_package(inv, scored, n, m, resolved, policy)
 
 
-def match_explanation(pkg: DataFrame) -> DataFrame:
-    """M9.  Summary, detail lines and counts for people."""
+# --- fixed values: sentences shown to people ---------------------------------------------------------
+SUMMARIES = {
+    "no_matching_evidence": "Extraction was unable to provide enough information for PO matching.",
+    "one_match": "One open PO uniquely matched the available evidence.",
+    "ambiguous": "Available evidence was insufficient to distinguish PO candidates.",
+    "none_viable": "No open PO matched the extracted evidence.",
+    "waiting_for_po": "PO reference or evidence insufficient for confident match.",
+    "suggested_po_match": "No PO on invoice — suggested PO match available for confirmation.",
+}
+DETAILS = {
+    "no_candidates": "PO matching found 0 candidates.",
+    "none_viable": "PO matching found 0 viable candidates.",
+    "vendor": "Vendor matched exactly.",
+    "amount": "Invoice amount aligns with remaining PO balance.",
+    "lines": "Line items matched PO lines.",
+    "hint": "PO candidate surfaced from imported transaction po_reference (hint only).",
+    "no_contradiction": "No contradictory evidence was found.",
+}
+
+
+def match_explanation(pkg: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """M9.  Summary, detail lines, counts and what the extraction had and lacked, for people.
+
+    `evidence`: (company_id, document_id, available, missing) of the evidence profile (C8); without it both lists are empty.
+    """
+    none = F.array().cast("array<string>")
+    if evidence is None:
+        pkg = pkg.withColumns({"available": none, "missing": none})
+    else:
+        pkg = pkg.join(evidence.select("company_id", "document_id", "available", "missing"), ["company_id", "document_id"], "left")
     c, s = F.col("match_status"), F.col("matched_pos")
     viable = F.filter("candidates", lambda x: (x["score"] > 0) | (x["s_vendor"] > 0))
     top = F.try_element_at("candidates", F.lit(1))
     found = F.concat(F.lit("PO matching found "), F.size(viable).cast("string"), F.lit(" viable candidate(s)."))
     one = c.isin("matched", "high_confidence_match") & (F.size(s) == 1)
     unsure = c.isin("ambiguous_match", "multiple_candidates")
+    hopeless = (c == "unmatched") & (F.size(viable) == 0)
     ranked = lambda tail: F.concat(F.lit("Ranked "), F.col("candidate_count").cast("string"), F.lit(tail))
-    summary = (F.when(c == "no_matching_evidence", "Extraction was unable to provide enough information for PO matching.")
-               .when(one, "One open PO uniquely matched the available evidence.")
-               .when(unsure, "Available evidence was insufficient to distinguish PO candidates.")
-               .when((c == "unmatched") & (F.size(viable) == 0), "No open PO matched the extracted evidence.")
-               .when(c == "waiting_for_po", "PO reference or evidence insufficient for confident match.")
-               .when(c == "suggested_po_match", "No PO on invoice — suggested PO match available for confirmation.")
-               .otherwise(F.concat(F.lit("PO resolution outcome: "), c)))
-    details = (F.when(c == "no_matching_evidence", F.array(F.lit("PO matching found 0 candidates.")))
+    listed = lambda label, x: (F.concat(F.lit(f"{label}: "), F.array_join(x, ", ")), F.size(x) > 0)
+    around = lambda text: flags(listed("Available", F.col("available")), (text, F.lit(True)), listed("Missing", F.col("missing")))
+    summary = (F.when(c == "no_matching_evidence", SUMMARIES["no_matching_evidence"]).when(one, SUMMARIES["one_match"]).when(unsure, SUMMARIES["ambiguous"])
+               .when(hopeless, SUMMARIES["none_viable"]).when(c == "waiting_for_po", SUMMARIES["waiting_for_po"])
+               .when(c == "suggested_po_match", SUMMARIES["suggested_po_match"]).otherwise(F.concat(F.lit("PO resolution outcome: "), c)))
+    details = (F.when(c == "no_matching_evidence", around(DETAILS["no_candidates"]))
                .when(one, flags((F.concat(F.lit("Matched PO: "), F.try_element_at(s, F.lit(1))["po_number"]), F.lit(True)),
-                                ("Vendor matched exactly.", top["s_vendor"] > 0),
-                                ("Invoice amount aligns with remaining PO balance.", top["s_amount"] > 0),
-                                ("Line items matched PO lines.", top["s_line"] > 0),
-                                ("No contradictory evidence was found.", F.lit(True))))
+                                (DETAILS["vendor"], top["s_vendor"] > 0), (DETAILS["amount"], top["s_amount"] > 0), (DETAILS["lines"], top["s_line"] > 0),
+                                (DETAILS["hint"], top["method"] == "source_record_po_hint"), (DETAILS["no_contradiction"], F.lit(True))))
                .when(unsure, F.concat(F.array(found), F.transform(F.slice(viable, 1, 5), lambda x: F.concat(
                    F.lit("Candidate: "), x["po_number"], F.lit(" (score "), F.round(x["score"] / 10.0).cast("bigint").cast("string"), F.lit(")")))))
-               .when((c == "unmatched") & (F.size(viable) == 0), F.array(F.lit("PO matching found 0 viable candidates.")))
+               .when(hopeless, around(DETAILS["none_viable"]))
                .when(c == "waiting_for_po", F.array(ranked(" candidate(s) for human review.")))
                .when(c == "suggested_po_match", F.array(ranked(" candidate(s) by vendor, amount, and lines.")))
-               .otherwise(F.array().cast("array<string>")))
-    return pkg.select("document_id", "match_status", summary.alias("summary"), details.alias("details"),
-                      "candidate_count", F.size(viable).cast("bigint").alias("viable"), "next_stage")
+               .otherwise(none))
+    return pkg.select("document_id", "match_status", summary.alias("summary"), details.alias("details"), F.coalesce("available", none).alias("available"),
+                      F.coalesce("missing", none).alias("missing"), "candidate_count", F.size(viable).cast("bigint").alias("viable"), "next_stage")
 
 
 def latest_confirmations(confirmations: DataFrame) -> DataFrame:

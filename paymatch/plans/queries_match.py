@@ -534,12 +534,26 @@ def m8_full(fx):
   CASE WHEN m.match_status IN ('matched', 'high_confidence_match', 'partial_match') THEN 'validation' WHEN m.match_status IN ('ambiguous_match', 'unmatched', 'no_matching_evidence', 'multiple_candidates', 'waiting_for_po', 'suggested_po_match') THEN 'human_review' ELSE '' END AS next_stage
   FROM q_match m LEFT JOIN (SELECT document_id, count(*) AS n FROM q_scored WHERE score > 0 OR s_vendor > 0 GROUP BY 1) v ON v.document_id = m.document_id""")
 def m9(fx):
-    return mat.match_explanation(packages(fx)).drop("details")
+    return mat.match_explanation(packages(fx)).drop("details", "available", "missing")
 
 
-@query("m9_match_explanation_details")
+_D = mat.DETAILS
+_AROUND = "concat_ws(' ', CASE WHEN e.available <> '' THEN 'Available: ' || replace(e.available, ',', ', ') END, '{text}', CASE WHEN e.missing <> '' THEN 'Missing: ' || replace(e.missing, ',', ', ') END)"
+
+
+@query("m9_match_explanation_details", f"""SELECT m.document_id, e.available, e.missing, CASE WHEN m.match_status = 'no_matching_evidence' THEN {_AROUND.format(text=_D['no_candidates'])}
+    WHEN m.match_status IN ('matched', 'high_confidence_match') AND len(selected) = 1 THEN concat_ws(' ', 'Matched PO: ' || selected[1], CASE WHEN t.s_vendor > 0 THEN '{_D['vendor']}' END,
+      CASE WHEN t.s_amount > 0 THEN '{_D['amount']}' END, CASE WHEN t.s_line > 0 THEN '{_D['lines']}' END, CASE WHEN t.method = 'source_record_po_hint' THEN '{_D['hint']}' END, '{_D['no_contradiction']}')
+    WHEN m.match_status IN ('ambiguous_match', 'multiple_candidates') THEN concat_ws(' ', 'PO matching found ' || coalesce(v.n, 0) || ' viable candidate(s).', v.lines)
+    WHEN m.match_status = 'unmatched' AND coalesce(v.n, 0) = 0 THEN {_AROUND.format(text=_D['none_viable'])}
+    WHEN m.match_status = 'waiting_for_po' THEN 'Ranked ' || coalesce(n_cands, 0) || ' candidate(s) for human review.'
+    WHEN m.match_status = 'suggested_po_match' THEN 'Ranked ' || coalesce(n_cands, 0) || ' candidate(s) by vendor, amount, and lines.' ELSE '' END AS details
+  FROM q_match m JOIN q_evidence e ON e.document_id = m.document_id LEFT JOIN q_ranked t ON t.document_id = m.document_id AND t.pos = 1
+  LEFT JOIN (SELECT document_id, count(*) AS n, string_agg('Candidate: ' || po_number || ' (score ' || round(score / 10e0)::BIGINT || ')', ' ' ORDER BY pos) FILTER (w <= 5) AS lines
+    FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS w FROM q_ranked WHERE score > 0 OR s_vendor > 0) GROUP BY 1) v ON v.document_id = m.document_id""")
 def m9_details(fx):
-    return mat.match_explanation(packages(fx)).select("document_id", F.array_join("details", " ").alias("details"))
+    x = mat.match_explanation(packages(fx), evidence(fx))
+    return x.select("document_id", F.array_join("available", ",").alias("available"), F.array_join("missing", ",").alias("missing"), F.array_join("details", " ").alias("details"))
 
 
 CTES["q_answers"] = """SELECT document_id, action, po_number, actor FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY acted_at DESC) AS r FROM v_confirmations) WHERE r = 1"""
