@@ -64,3 +64,10 @@ def forget(spark: SparkSession, paths: list[str], but: DataFrame | None = None)
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
             _STAGED.remove(path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the staged folders that these tables are read from, once nothing reads them any more."""
+    for df in frames:
+        names = {file.rsplit("/", 2)[-2] for file in df.inputFiles()}
+        forget(df.sparkSession, [path for path in staged() if path.rsplit("/", 1)[-1] in names])

@@ -28,3 +28,12 @@ def test_staged_tables_go_once_nothing_reads_them(spark):
     assert [os.path.isdir(p) for p in paths] == [True, False] and one.count() == 3
     runtime.forget(spark, paths)
     assert not set(runtime.staged()) & set(paths) and two.columns == ["id"]
+
+
+def test_released_tables_are_gone_and_others_stay(spark):
+    from paymatch.plans import runtime
+
+    a, b = runtime.stage(spark.range(5)), runtime.stage(spark.range(3))
+    before = len(runtime.staged())
+    runtime.release(a, a, spark.range(2))
+    assert len(runtime.staged()) == before - 1 and b.count() == 3
