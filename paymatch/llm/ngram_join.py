@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paymatch.llm import sketches
 from paymatch.llm.components import components
 from paymatch.llm.words import gram_hashes, mix, signed, space_words
-from paymatch.plans.runtime import stage
+from paymatch.plans.runtime import release, stage
 
 LEAF, FAN = 32, 8  # rows in a leaf of a tree, children of a node
 PART = 4096  # rows of a block in one task at most, against as many others
@@ -510,8 +510,10 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: boo
 
     def sets_of(ends: DataFrame) -> DataFrame:
         ids = stage(classes.join(ends, "cls").select("cls", F.xxhash64("rep").alias("id_hash")))
-        return stage(docs.mapInArrow(_sets(size, send(sketches.bitmap(ids, "id_hash")), send(sketches.bitmap(ids, "cls"))), "cls bigint, members binary")
-                     .dropDuplicates(["cls"]))
+        found = stage(docs.mapInArrow(_sets(size, send(sketches.bitmap(ids, "id_hash")), send(sketches.bitmap(ids, "cls"))), "cls bigint, members binary")
+                      .dropDuplicates(["cls"]))
+        release(ids)
+        return found
 
     held = F.greatest(F.count("*") / PART, F.sum(F.col("n").cast("long")) / MEMBERS)  # parts of a block, by rows and by members
 
@@ -521,8 +523,10 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: boo
         parts = pairs.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(held).cast("int").alias("parts"))
         rows = (pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
                 .union(parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))))
-        return stage(rows.join(found.withColumnRenamed("cls", "b"), "b").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
-                     .mapInArrow(_with_leader(rule), "a bigint, b bigint"))
+        linked = stage(rows.join(found.withColumnRenamed("cls", "b"), "b").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
+                       .mapInArrow(_with_leader(rule), "a bigint, b bigint"))
+        release(found, pairs)
+        return linked
 
     # The leader of a block: the set with the fewest leading members of its own, as the original of edited copies is.
     leading_members = F.col("n") - F.ceil(F.col("n").cast("long") * num / den) + 1
@@ -532,6 +536,7 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: boo
                     .select("token", F.col("first.cls").alias("a")))
     # All blocks of one leader are one block: (a, b) for each set b that shares a leading member of a block led by a.
     blocks = stage(ranked.join(leaders, "token").select("a", F.col("cls").alias("b")).distinct())
+    release(shared, alone, ranked, leaders)
 
     def dealt(rows: DataFrame, parts: DataFrame) -> DataFrame:
         """The rows (a, cls, …) of the blocks in `parts` (a, parts), each once for every part it is compared with."""
@@ -565,6 +570,7 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: boo
     rows = stage(rows.mapInArrow(_involved(rule), _INVOLVED))
     found = sets_of(rows.select("cls").distinct())
     more = stage(by_block(rows.join(found, "cls")).mapInArrow(_joining_links(rule), "a bigint, b bigint"))
+    release(found, rows, named, blocks)
     return first.where("hot is null").select("doc_id", "cls", "n"), classes.select("cls", "rep", "n"), links.union(more)
 
 
