@@ -240,7 +240,9 @@ def by_fuzzy_number(inv: DataFrame, pos: DataFrame, flags: DataFrame, policy: Ma
     """J11.  The five most similar open order numbers with ratio >= .6, per distinct printed number.
 
     Tiers of falling similarity: a number that already has five hits at or above a tier's floor is settled,
-    since every pair not found yet is less similar.  Only the rest goes on to the next, wider tier.
+    since every pair not found yet is less similar.  Only the rest goes on to the next, wider tier.  The last tier
+    finds all pairs a hit may have, so it settles every number; those with a partner too long for deletion variants
+    (`MAX_VARIANTS`, some 15 characters) are searched by their characters.
     """
     open_ = pos.filter("status = 'open'").join(flags, "company_id", "left").filter(
         ~(true(F.col("has_import")) & true(F.col("open_import"))) | F.col("import_derived"))
@@ -254,13 +256,16 @@ def by_fuzzy_number(inv: DataFrame, pos: DataFrame, flags: DataFrame, policy: Ma
                     ["company_id", "lk"], [F.col("ratio").desc(), "po_number"], k)
 
     settled, todo = [], want
-    for floor in (0.88, 0.75):
+    for floor in (0.88, 0.75, policy.fuzzy_min_ratio):
         pairs, skipped = deletion_pairs(todo, stock, ["company_id"], "lk", "rk", floor)
         ranked = stage(rank(pairs, floor))
-        full = ranked.groupBy("company_id", "lk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("company_id", "lk")
-        full = full.join(skipped, ["company_id", "lk"], "left_anti")
-        settled.append(ranked.join(full, ["company_id", "lk"], "left_semi"))
-        todo = stage(todo.join(full, ["company_id", "lk"], "left_anti"))
+        if floor > policy.fuzzy_min_ratio:
+            done = ranked.groupBy("company_id", "lk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("company_id", "lk")
+        else:
+            done = todo
+        done = done.join(skipped, ["company_id", "lk"], "left_anti")
+        settled.append(ranked.join(done, ["company_id", "lk"], "left_semi"))
+        todo = stage(todo.join(done, ["company_id", "lk"], "left_anti"))
         if todo.isEmpty():
             break
     else:

@@ -47,9 +47,7 @@ def test_deletion_pairs_lose_nothing(spark):
         assert {(x, y) for x in a for y in b if SequenceMatcher(None, x, y).ratio() >= floor} <= got
 
 
-def test_fuzzy_numbers_equal_brute_force(spark):
-    stock = keys(150, "PO012X", 5, 10)
-    want = keys(25, "PO012XZ", 4, 10) + ["QQQQ"]
+def fuzzy_numbers(spark, want, stock):
     inv = spark.createDataFrame([("C", f"D{i}", w) for i, w in enumerate(want)], "company_id string, document_id string, po_value string")
     pos = spark.createDataFrame([("C", s, "open", False) for s in stock], "company_id string, po_number string, status string, import_derived boolean")
     flags = spark.createDataFrame([("C", False, False)], "company_id string, has_import boolean, open_import boolean")
@@ -61,6 +59,24 @@ def test_fuzzy_numbers_equal_brute_force(spark):
         assert sorted(got.get(f"D{i}", [])) == [p for p in scored if p[0] <= -0.6][:5], w
 
 
+def test_fuzzy_numbers_equal_brute_force(spark):
+    fuzzy_numbers(spark, keys(25, "PO012XZ", 4, 10) + ["QQQQ"], keys(150, "PO012X", 5, 10))
+
+
+def test_fuzzy_numbers_of_any_length_equal_brute_force(spark):
+    """Digits alone, few hits each: the last tier decides; long ones have more variants than may be expanded."""
+    stock = keys(120, "0123456789", 6, 9) + keys(20, "0123456789", 15, 20)
+    want = keys(20, "0123456789", 5, 9) + keys(4, "0123456789", 14, 18) + [stock[-1][:-3], stock[-2] + "77"]
+    fuzzy_numbers(spark, sorted(set(want)), sorted(set(stock)))
+
+
+def test_last_tier_pairs_are_few(spark):
+    """Seven-digit numbers share most of their digits, in one order or another, but few a long enough subsequence."""
+    stock, want = keys(2000, "0123456789", 7, 7), keys(20, "0123456789", 7, 7)
+    pairs, skipped = sim.deletion_pairs(frame(spark, want, "x"), frame(spark, stock, "y"), ["c"], "x", "y", 0.6)
+    assert skipped.count() == 0 and pairs.count() < len(stock) * len(want) / 20
+
+
 def test_sequence_ratio_keeps_argument_order(spark):
     x = spark.createDataFrame([("tide", "diet"), ("diet", "tide")], "a string, b string").select(sequence_ratio("a", "b").alias("r"))
     assert [r.r for r in x.collect()] == [0.25, 0.5]
