@@ -239,6 +239,12 @@ def i7(fx):
     return im.assign_vendor_ids(new, fx.vendors).select("company_id", "key", "vendor_id")
 
 
+@query("i7_assign_vendor_ids_fuzzy")
+def i7_full(fx):
+    new = im.resolve_import_vendors(identities(fx), fx.vendors).filter("vendor_status = 'safe_create'")
+    return im.assign_vendor_ids(new, fx.vendors).select("company_id", "key", "vendor_id")
+
+
 CTES["q_firsts"] = f"SELECT {sql_valid_po('po_no')} AS po, company_id, min(row_id) AS first_row FROM q_classified2 WHERE rt = 'purchase_order' AND {sql_valid_po('po_no')} IS NOT NULL GROUP BY 1, 2"
 CTES["q_known_pos"] = "SELECT company_id, po FROM q_firsts UNION SELECT company_id, po_number FROM v_pos WHERE status = 'open'"
 CTES["q_canonical"] = f"""
@@ -254,8 +260,8 @@ CTES["q_canonical"] = f"""
   LEFT JOIN q_known_pos n ON n.company_id = c.company_id AND n.po = trim(c.po_no)"""
 
 
-def canonical(fx):
-    return fx.memo("canonical", lambda: im.canonicalize(classified(fx), fx.pos.filter("status = 'open'"), fx.vendors, fuzzy=False))
+def canonical(fx, fuzzy=False):
+    return fx.memo(f"canonical_{fuzzy}", lambda: im.canonicalize(classified(fx), fx.pos.filter("status = 'open'"), fx.vendors, fuzzy))
 
 
 @query("i8_canonicalize_batch", "SELECT row_id, record_type, string_split(verdict, '|')[1] AS row_status, string_split(verdict, '|')[2] AS issue FROM q_canonical")
@@ -263,6 +269,11 @@ def i8(fx):
     return canonical(fx).select("row_id", "record_type", "row_status", "issue")
 
 
+@query("i8_canonicalize_batch_fuzzy")
+def i8_full(fx):
+    return canonical(fx, fuzzy=True).select("row_id", "record_type", "row_status", "issue")
+
+
 CTES["q_mirror"] = f"""SELECT s.company_id, s.source_record_id, CASE WHEN ref IS NOT NULL AND t.po_number IS NULL AND r = 1 THEN ref ELSE 'IMP-' || source_record_id END AS po_number, invoice_total AS total_amount
   FROM (SELECT *, {sql_valid_po('po_reference')} AS ref, row_number() OVER (PARTITION BY company_id, po_reference ORDER BY source_record_id) AS r FROM v_source_records WHERE invoice_total > 0) s LEFT JOIN v_pos t ON t.company_id = s.company_id AND t.po_number = ref"""
 
@@ -287,6 +298,11 @@ def i11(fx):
     return im.activation_summary(canonical(fx))
 
 
+@query("i11_activation_summary_fuzzy")
+def i11_full(fx):
+    return im.activation_summary(canonical(fx, fuzzy=True))
+
+
 @query("i11_import_outcome", "SELECT count(*) FILTER (verdict LIKE 'ready%') AS ready, count(*) FILTER (verdict LIKE 'blocked%') AS blocked, count(*) FILTER (verdict LIKE 'ready%') > 0 AND count(*) FILTER (verdict LIKE 'blocked%') = 0 AS valid, count(*) FILTER (verdict LIKE 'ready%') > 0 AS partial_success, false AS review_needed FROM q_canonical")
 def i11_outcome(fx):
     return im.import_outcome(canonical(fx))
