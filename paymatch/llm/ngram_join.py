@@ -200,18 +200,18 @@ def _from_texts(size: int, rule: Rule, sent_hot, sent_ids):
 
 
 def _sets(size: int, sent_ids, sent_cls):
-    """(cls, members) of the wanted documents."""
+    """(cls, id_hash, members) of the wanted documents, each once in a task."""
     def run(frames):
+        seen = set()
         for frame in _wanted(sent_ids)(frames):
-            cls, sets = [], []
-            for text in frame.column(1):
+            cls, ids, sets = [], [], []
+            for text, id_hash in zip(frame.column(1), frame.column(2).to_pylist()):
                 s = shingles(text.as_py(), size)
-                if len(s):
-                    cls.append(_digest(s))
-                    sets.append(s.tobytes())
-            keep = sketches.member(sent_cls.value, np.array(cls, np.int64).view(np.uint64)) if cls else np.empty(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()).filter(pa.array(keep, pa.bool_())), pa.array(sets, pa.binary()).filter(pa.array(keep, pa.bool_()))],
-                                             names=["cls", "members"])
+                if len(s) and (key := (_digest(s), id_hash)) not in seen:
+                    seen.add(key), cls.append(key[0]), ids.append(id_hash), sets.append(s.tobytes())
+            keep = pa.array(sketches.member(sent_cls.value, np.array(cls, np.int64).view(np.uint64)) if cls else [], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (pa.array(cls, pa.int64()), pa.array(ids, pa.int64()), pa.array(sets, pa.binary()))],
+                                             names=["cls", "id_hash", "members"])
     return run
 
 
@@ -333,15 +333,19 @@ def block_pairs(n, comp, sigs, rule: Rule, left=None):
 
 
 def _in_blocks(frames, names):
-    """(block, rows) of Arrow rows sorted by (block, part, other), with the columns `names` of each row."""
-    block, rows = None, []
+    """(block, rows) of Arrow rows sorted by (block, part, other), with the columns `names` of each row, a set's digest first.
+
+    A set that comes twice, as that of a repeated document, is in the block once.
+    """
+    block, rows, seen = None, [], set()
     for frame in frames:
         for key, row in zip(zip(*(frame.column(c).to_pylist() for c in ("block", "part", "other"))), zip(*(frame.column(c).to_pylist() for c in names))):
             if key != block:
                 if len(rows) > 1:
                     yield block, rows
-                block, rows = key, []
-            rows.append(row)
+                block, rows, seen = key, [], set()
+            if row[0] not in seen:
+                seen.add(row[0]), rows.append(row)
     if len(rows) > 1:
         yield block, rows
 
@@ -508,24 +512,26 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: boo
         side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(rule), "a bigint, b bigint"))
 
-    def sets_of(ends: DataFrame) -> DataFrame:
-        ids = stage(classes.join(ends, "cls").select("cls", F.xxhash64("rep").alias("id_hash")))
-        found = stage(docs.mapInArrow(_sets(size, send(sketches.bitmap(ids, "id_hash")), send(sketches.bitmap(ids, "cls"))), "cls bigint, members binary")
-                      .dropDuplicates(["cls"]))
-        release(ids)
-        return found
+    def of_rep(rows: DataFrame) -> DataFrame:
+        """Rows with a column cls, and the hashed id of the document that gives its set."""
+        return stage(rows.join(classes.select("cls", F.xxhash64("rep").alias("id_hash")), "cls"))
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        """Rows of `of_rep` with their sets, which cross the network for this join alone: copies other than the class's own
+        document meet no row, and only where that document is repeated a row may come twice."""
+        wanted = [send(sketches.bitmap(rows, c)) for c in ("id_hash", "cls")]
+        return rows.join(docs.mapInArrow(_sets(size, *wanted), "cls bigint, id_hash bigint, members binary"), ["cls", "id_hash"])
 
     held = F.greatest(F.count("*") / PART, F.sum(F.col("n").cast("long")) / MEMBERS)  # parts of a block, by rows and by members
 
     def with_leaders(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b): each b's set goes to its leader a, in parts of bounded size that each hold a's set."""
-        found = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
         parts = pairs.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(held).cast("int").alias("parts"))
-        rows = (pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-                .union(parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))))
-        linked = stage(rows.join(found.withColumnRenamed("cls", "b"), "b").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
+        rows = of_rep(pairs.join(parts, "a").select("a", F.col("b").alias("cls"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+                      .union(parts.select("a", F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))))
+        linked = stage(with_sets(rows).withColumnRenamed("cls", "b").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
                        .mapInArrow(_with_leader(rule), "a bigint, b bigint"))
-        release(found, pairs)
+        release(rows, pairs)
         return linked
 
     # The leader of a block: the set with the fewest leading members of its own, as the original of edited copies is.
@@ -555,9 +561,8 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: boo
         parts = (rows.join(classes.select("cls", "n"), "cls").groupBy("a").agg(F.count("*").alias("rows"), F.ceil(held).cast("int").alias("parts"))
                  .where("rows > 1").select("a", "parts"))
         rows = by_block(dealt(rows, parts).select("block", "part", "other", "cls", F.col("cls").alias("comp"), "n", "sig", "side", "leaders"))
-        rows = stage(rows.mapInArrow(_involved(rule), _INVOLVED))
-        found = sets_of(rows.select("cls").distinct())
-        links = stage(by_block(rows.join(found, "cls")).mapInArrow(_all_links(rule), "a bigint, b bigint, joins boolean"))
+        rows = of_rep(rows.mapInArrow(_involved(rule), _INVOLVED))
+        links = stage(by_block(with_sets(rows)).mapInArrow(_all_links(rule), "a bigint, b bigint, joins boolean"))
         return first.where("hot is null").select("doc_id", "cls", "n"), classes.select("cls", "rep", "n"), links
 
     links = with_leaders(possible(blocks.where("a <> b")))
@@ -567,10 +572,9 @@ def link_classes(docs: DataFrame, size: int, num: int, den: int, every_link: boo
     parts = stage(named.join(classes.select("cls", "n"), "cls").groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(held).cast("int").alias("parts"))
                   .where("lo <> hi").select("a", "parts"))
     rows = by_block(dealt(named, parts).select("block", "part", "other", "cls", "comp", "n", "sig", "side", "leaders"))
-    rows = stage(rows.mapInArrow(_involved(rule), _INVOLVED))
-    found = sets_of(rows.select("cls").distinct())
-    more = stage(by_block(rows.join(found, "cls")).mapInArrow(_joining_links(rule), "a bigint, b bigint"))
-    release(found, rows, named, blocks)
+    rows = of_rep(rows.mapInArrow(_involved(rule), _INVOLVED))
+    more = stage(by_block(with_sets(rows)).mapInArrow(_joining_links(rule), "a bigint, b bigint"))
+    release(rows, named, blocks)
     return first.where("hot is null").select("doc_id", "cls", "n"), classes.select("cls", "rep", "n"), links.union(more)
 
 
