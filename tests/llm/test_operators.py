@@ -348,6 +348,19 @@ def test_ngram_join_counts_all_links(spark, monkeypatch, part):
     assert "n_links" not in ngram_join.jaccard_components(df, 4, 80, 100, every_link=False).columns
 
 
+def test_ngram_join_repeated_rows(spark):
+    """Rows repeated in several tasks, each of which gives the set of its document, and copies under other ids change no link."""
+    rng = random.Random(9)
+    texts = [" ".join(f"e{rng.randrange(20)}" if rng.random() < 0.02 else f"w{i}" for i in range(80)) for _ in range(25)]
+    df = table(spark, texts + texts[:4])
+    repeated = df.union(df).union(df).repartition(5, "n_chars", "text", warc_fixity.F.rand(1))
+    for every_link in (True, False):
+        once, more = (ngram_join.jaccard_components(x, 4, 80, 100, every_link).drop("n_copies").distinct().collect() for x in (df, repeated))
+        assert {tuple(r) for r in once} == {tuple(r) for r in more} and len(once) == len(texts) + 4
+    want = plain_components(texts_of(df), 4, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in more} == want
+
+
 def test_ngram_join_odd_tables(spark, docs):
     empty, some = odd(spark, docs)
     assert ngram_join.jaccard_components(empty).count() == 0
