@@ -37,3 +37,30 @@ def test_released_tables_are_gone_and_others_stay(spark):
     before = len(runtime.staged())
     runtime.release(a, a, spark.range(2))
     assert len(runtime.staged()) == before - 1 and b.count() == 3
+
+
+def test_broadcasts_go_by_measured_size_not_by_compressed_files(spark):
+    s = spark.newSession()
+    rows = s.range(400_000).selectExpr("concat('C', id % 3) as company_id", "concat('PO-', lpad(cast(id as string), 7, '0')) as po_number",
+                                       *[f"repeat('{c}', 200) as note_{c}" for c in "abcdefgh"])
+    small = "1048576"  # bytes; the two columns hold some 20 MB, their share of the compressed files is below
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    big, keys = runtime.stage(rows), ["company_id", "po_number"]
+    tiny = runtime.stage(s.createDataFrame([("C0", True)], "company_id string, has_import boolean"))
+    plan = lambda right, on: s.read.parquet(*big.inputFiles()).join(right, on)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(big.select(*keys), keys)
+    runtime.broadcast_by_measured_size(s)
+    runtime.broadcast_by_measured_size(s)
+    assert "BroadcastHashJoin" not in plan(big.select(*keys), keys)
+    assert "BroadcastHashJoin" in plan(tiny, "company_id")
+    assert s.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == small
+
+
+def test_a_session_with_its_own_limits_keeps_them(spark):
+    s = spark.newSession()
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    runtime.broadcast_by_measured_size(s)
+    assert s.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    runtime.broadcast_by_measured_size(s)
+    assert int(s.conf.get("spark.sql.autoBroadcastJoinThreshold")) == 256 * 1024 // runtime.ESTIMATE_FACTOR
