@@ -28,6 +28,59 @@ def test_containment_pairs(spark):
     assert got == {(x, y) for x in a for y in b if x in y or y in x}
 
 
+def test_containment_in_groups_of_all_sizes(spark):
+    # many groups of a key or two beside one that holds hundreds of pairs, with keys shorter and longer than the grams
+    a = [("H", k) for k in keys(40, lo=1, hi=12)] + [(f"G{i}", k) for i in range(60) for k in keys(2, "AB", 1, 8)] + [("L", "A"), ("H", "")]
+    b = [("H", k) for k in keys(40, lo=1, hi=12)] + [(f"G{i}", k) for i in range(60) for k in keys(2, "AB", 1, 8)] + [("R", "A"), ("G1", "")]
+    x, y = (spark.createDataFrame([("C", *r) for r in rows], f"c string, h string, {n} string") for rows, n in ((a, "x"), (b, "y")))
+    got = sim.containment_pairs(x, y, ["c", "h"], "x", "y")
+    pairs = [(r.h, r.x, r.y) for r in got.collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {(g, k, m) for g, k in a for h, m in b if g == h and (k in m or m in k)}
+
+
+def rows_through(df, *nodes):
+    """Rows that the named plan nodes of a query put out when it runs, largest first."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.nodeName()
+        if name.startswith(nodes) and plan.metrics().contains("numOutputRows"):
+            out.append(plan.metrics().apply("numOutputRows").value())
+        inner = plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan() if name.endswith("QueryStage") else None
+        todo += [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().size())]
+    return sorted(out, reverse=True)
+
+
+def test_small_groups_of_keys_are_not_indexed(spark):
+    rows = [("C", f"G{i}", f"NORTHWIND STEEL {i}") for i in range(300)]
+    x, y = (spark.createDataFrame(rows, f"c string, h string, {n} string") for n in "xy")
+    pairs = sim.containment_pairs(x, y, ["c", "h"], "x", "y")
+    assert pairs.count() == 300 and max(rows_through(pairs, "Generate"), default=0) == 0
+
+
+def test_word_pairs_meet_under_two_words(spark):
+    rows = sorted({f"{a} {b} {i}" for i in range(3) for a in "ABCDEFGH" for b in "PQRST"} | {"A", "A P", "B Q R"})
+    pairs = ven.fuzzy_pairs(spark.createDataFrame([("C", r) for r in rows], "company_id string, vendor_name string"),
+                            spark.createDataFrame([("C", f"V{i}", r, r, [], "active") for i, r in enumerate(rows)],
+                                                  "company_id string, vendor_id string, name string, normalized_name string, aliases array<string>, status string"))
+    got = [(r.lk, r.rk) for r in pairs.collect()]
+    need = lambda a, b: len(set(a.split()) & set(b.split())) >= (len(a.split()) + len(b.split())) // 5 + 1
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in rows for b in rows if need(a, b)}
+    assert rows_through(pairs, "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")[0] <= len(got)
+
+
+def test_equal_vendor_keys_are_settled_without_comparison(spark):
+    rows = [("C", f"V{i}", n, n.upper(), [], "active") for i, n in enumerate(["Acme Steel 1", "Acme Steel 2", "ACME, STEEL 1", "Delta Paper 7"])]
+    vendors = spark.createDataFrame(rows, "company_id string, vendor_id string, name string, normalized_name string, aliases array<string>, status string")
+    names = spark.createDataFrame([("C", n) for n in ("Acme Steel 1", "Acm Steel 2", "Inc.", "Delta Papr 7", "Zeta 9")], "company_id string, vendor_name string")
+    got = {r.vendor_name: (r.vendor_id, r.confidence) for r in ven.resolve_fuzzy(names, vendors).collect()}
+    score = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())) * 0.4 + SequenceMatcher(None, a, b).ratio() * 0.6
+    assert set(got) == {"Acme Steel 1", "Acm Steel 2", "Delta Papr 7"} and got["Acme Steel 1"] == ("V0", 0.85)
+    assert got["Acm Steel 2"] == ("V1", round(score("ACM STEEL 2", "ACME STEEL 2") * 0.85, 2)) and got["Delta Papr 7"][0] == "V3"
+
+
 def test_word_overlap_pairs_lose_nothing(spark):
     words = ["STEEL", "PAPER", "NORTH", "ACME", "1", "2", "3", "4", "5"]
     names = lambda: sorted({" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(80)})
