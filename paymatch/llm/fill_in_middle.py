@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FAN = 16  # links of a lane that one link of the next lane spans
+SLICE_BYTES = 2 << 20  # of a batch that are transformed at a time
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 
 
@@ -66,17 +66,24 @@ def arrange(form: str, text: str, prefix: str, middle: str, suffix: str) -> str:
     return text
 
 
-def restore(form: str, output: str) -> str:
+def restore(form: Column, output: Column) -> Column:
     """The text that an output was made of.  Marks are found as first of their kind: a transformed text holds none, and no
     mark can begin in a piece and end in the next mark."""
-    if form == "plain":
-        return output
-    front, _, middle = output.partition(MIDDLE)
-    if form == "psm":
-        prefix, _, suffix = front[len(PREFIX):].partition(SUFFIX)
-    else:
-        suffix, _, prefix = front[len(SUFFIX):].partition(PREFIX)
-    return prefix + middle + suffix
+    def parted(text: Column, mark: str) -> tuple[Column, Column]:
+        """What stands before the first `mark` and what stands after it (no mark: all and nothing)."""
+        before = F.substring_index(text, mark, 1)
+        return before, F.substr(text, F.length(before) + F.lit(len(mark) + 1))
+
+    front, middle = parted(output, MIDDLE)
+    prefix, suffix = parted(F.substr(front, F.lit(len(PREFIX) + 1)), SUFFIX)
+    last, first = parted(F.substr(front, F.lit(len(SUFFIX) + 1)), PREFIX)
+    return F.when(form == "plain", output).when(form == "psm", F.concat(prefix, middle, suffix)).otherwise(F.concat(first, middle, last))
+
+
+def slices(frame: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """A batch in slices of some `SLICE_BYTES`, none of no rows; a longer row stands alone."""
+    rows = max(1, frame.num_rows * SLICE_BYTES // max(frame.nbytes, 1))
+    return [frame.slice(at, rows) for at in range(0, frame.num_rows, rows)]
 
 
 def transform(docs: DataFrame, plain_percent: int = 10, spm_percent: int = 20, seed: int = 1, unit: str | None = None) -> DataFrame:
@@ -87,14 +94,14 @@ def transform(docs: DataFrame, plain_percent: int = 10, spm_percent: int = 20, s
     plain, and then prefix_chars and middle_chars are null.  Units are code points, or the matches of the pattern `unit`.
 
     A null doc_id hashes as an empty one; repeated rows give the same output each; an empty table gives no rows; other columns are ignored.
-    Rows are independent: nothing is shuffled, and memory is that of a batch.
+    Rows are independent: nothing is shuffled, and memory is that of a batch and of one slice's texts and outputs.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     numbers = [F.conv(F.substring("_digest", 8 * k + 1, 8), 16, 10).cast("bigint").alias(f"h{k + 1}") for k in range(4)]
 
     def run(frames):
-        for frame in frames:
+        for frame in (part for whole in frames for part in slices(whole)):
             out = []
             for text, *h in zip(*(frame.column(k).to_pylist() for k in range(1, 6))):
                 text, form = text or "", "psm"
@@ -119,11 +126,7 @@ def transform(docs: DataFrame, plain_percent: int = 10, spm_percent: int = 20, s
 
 def with_restored(transformed: DataFrame) -> DataFrame:
     """Adds `restored`, the text rebuilt from `form` and `output` alone; all other columns stay."""
-    @F.pandas_udf("string")
-    def rebuilt(form: pd.Series, output: pd.Series) -> pd.Series:
-        return pd.Series([restore(f, o) for f, o in zip(form, output)], dtype=object)
-
-    return transformed.withColumn("restored", rebuilt("form", "output"))
+    return transformed.withColumn("restored", restore(F.col("form"), F.col("output")))
 
 
 def digests(docs: DataFrame) -> DataFrame:

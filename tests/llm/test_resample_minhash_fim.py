@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paymatch.llm import fill_in_middle, importance, minhash_dedup, star_components
@@ -217,3 +218,21 @@ def test_fill_in_middle_of_words(spark):
         if r.form != "plain":  # no word is cut
             for cut in (r.prefix_chars, r.prefix_chars + r.middle_chars):
                 assert cut in (0, len(text)) or text[cut - 1] == " "
+
+
+def test_fill_in_middle_holds_slices_and_restores_without_python():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["é" * 5000] * 1000})
+    parts = fill_in_middle.slices(batch)
+    assert len(parts) > 4 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in fill_in_middle.slices(batch.slice(0, 1))] == [1] and fill_in_middle.slices(batch.slice(0, 0)) == []
+
+
+def test_fill_in_middle_restores_odd_pieces(spark):
+    """Pieces that begin or end like marks; rebuilt by columns, with one Python worker a task."""
+    docs = spark.createDataFrame([(i, t) for i in range(300) for t in ["<", "<P", "P>S><", "<P<S<M>"[:-1], "é<\U0001f600<S", "\n<M\n>"]], "doc_id bigint, text string")
+    rows = fill_in_middle.with_restored(fill_in_middle.transform(docs, plain_percent=0)).join(docs, "doc_id").select("form", "output", "restored").collect()
+    assert {r.form for r in rows} >= {"psm", "spm"}
+    texts = {r.text for r in docs.collect()}
+    assert {r.restored for r in rows} == texts
+    plan = fill_in_middle.digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
