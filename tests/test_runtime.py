@@ -64,3 +64,17 @@ def test_a_session_with_its_own_limits_keeps_them(spark):
     s.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
     runtime.broadcast_by_measured_size(s)
     assert int(s.conf.get("spark.sql.autoBroadcastJoinThreshold")) == 256 * 1024 // runtime.ESTIMATE_FACTOR
+
+
+def test_the_driver_collects_its_garbage_after_steps_but_not_after_each(spark, monkeypatch):
+    calls = []
+    context = SimpleNamespace(applicationId="a")
+    fake = SimpleNamespace(sparkContext=context, _jvm=SimpleNamespace(System=SimpleNamespace(gc=lambda: calls.append(1))))
+    monkeypatch.setattr(runtime.time, "monotonic", lambda: 100.0)
+    assert runtime.collect_garbage(fake) and not runtime.collect_garbage(fake)
+    monkeypatch.setattr(runtime.time, "monotonic", lambda: 100.0 + runtime.COLLECT_EVERY)
+    assert runtime.collect_garbage(fake) and len(calls) == 2
+    asked = []
+    monkeypatch.setattr(runtime, "collect_garbage", lambda session: asked.append(session))
+    runtime.release(runtime.stage(spark.range(2)))
+    assert len(asked) == 1
