@@ -39,6 +39,13 @@ def test_containment_in_groups_of_all_sizes(spark):
     assert set(pairs) == {(g, k, m) for g, k in a for h, m in b if g == h and (k in m or m in k)}
 
 
+def test_containment_without_group_columns(spark):
+    a, b = keys(60) + [""], keys(60) + ["AB"]
+    x, y = (spark.createDataFrame([(v,) for v in values], f"{n} string") for values, n in ((a, "x"), (b, "y")))
+    got = [(r.x, r.y) for r in sim.containment_pairs(x, y, [], "x", "y").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(m, n) for m in a for n in b if m in n or n in m}
+
+
 def rows_through(df, *nodes):
     """Rows that the named plan nodes of a query put out when it runs, largest first."""
     df.collect()
